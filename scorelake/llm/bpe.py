@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.llm.common import ship
+
 #: The pre-tokenizer's pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEVER = 1 << 60
@@ -324,6 +326,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     import pandas as pd
     from pyspark.sql import types as T
 
+    ship(df.sparkSession)
+
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(batches: Iterator) -> Iterator:
         enc = Encoder(merges_at(path))
@@ -336,6 +340,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text of a column of token ids; null ids give the empty text."""
 
+    ship(df.sparkSession)
+
     @F.pandas_udf("string")
     def run(batches: Iterator) -> Iterator:
         merges = merges_at(path)
@@ -352,6 +358,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
     import pyarrow as pa
 
+    ship(df.sparkSession)
     kept = [c for c in df.columns if c != text]
     out = df.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 

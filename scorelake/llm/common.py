@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +37,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where neither their path nor their folder has it."""
+    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if app not in _shipped and not any((Path(p) / "scorelake").is_dir() for p in known if p):
+        made = shutil.make_archive(f"{tempfile.mkdtemp()}/scorelake", "zip", root, "scorelake")
+        spark.sparkContext.addPyFile(made)
+    _shipped.add(app)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
