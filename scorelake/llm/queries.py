@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, jaccard
-from scorelake.llm.common import documents
+from scorelake.llm import bpe, jaccard, langid, toxicity
+from scorelake.llm.common import documents, remainder
 
 
 def vocabulary() -> str:
@@ -21,13 +22,28 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"), words=5, percent=75)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("doc_id"), 3) == 1
+    found = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"), ~held, rows=2000)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), vocabulary())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = remainder(F.col("doc_id"), 5) == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    found = toxicity.toxicity(documents(spark, sf_dir).select("doc_id", "text"), labels, ~held)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op4_language_id": op4_language_id,
     "op6_bpe": op6_bpe,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
