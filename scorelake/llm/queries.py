@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, jaccard, langid, toxicity
+from scorelake.llm import bpe, jaccard, langid, quality, toxicity
 from scorelake.llm.common import documents, remainder
 
 
@@ -22,6 +22,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"), words=5, percent=75)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judged(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", *(f"q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 3) == 1
     found = langid.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"), ~held, rows=2000)
@@ -41,6 +46,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op6_bpe": op6_bpe,
     "op8_toxicity": op8_toxicity,
