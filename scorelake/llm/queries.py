@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, jaccard, langid, quality, toxicity
+from scorelake.llm import bpe, jaccard, langid, linedup, quality, toxicity
 from scorelake.llm.common import documents, remainder
 
 
@@ -44,12 +44,41 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+LINE_DEDUP_SQL = r"""
+WITH line AS (
+  SELECT doc_id, text, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM documents WHERE text IS NOT NULL),
+hashed AS (
+  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM line),
+stop AS (
+  SELECT *, w >= 50 OR coalesce(lead(w) OVER d >= 50, false) OR (h + 3 * coalesce(lag(h) OVER d, 0)) % 2 = 0 AS ends
+  FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM stop),
+chunk AS (
+  SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, sum((w > 0)::INT) >= 2 OR max(w) >= 50 AS part, count(*) AS n FROM placed GROUP BY ALL),
+judged AS (
+  SELECT *, part AND row_number() OVER (PARTITION BY chunk, part ORDER BY doc_id, place) > 1 AS gone FROM chunk),
+kept AS (
+  SELECT doc_id, string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone) AS text, sum(n) AS n_lines,
+    coalesce(sum(n) FILTER (WHERE gone), 0) AS n_gone_lines, count(*) FILTER (WHERE gone) AS n_gone_chunks
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
+  coalesce(n_gone_lines, 0)::BIGINT AS n_gone_lines, coalesce(n_gone_chunks, 0)::BIGINT AS n_gone_chunks
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op6_bpe": op6_bpe,
     "op8_toxicity": op8_toxicity,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
