@@ -9,9 +9,10 @@ Texts become sets of word shingles; equal sets are one class, and only classes g
    plain random order behind the single ones.  Two sets that reach the threshold share a prefix token under
    each of the three.
 3. Star links first: in every group with the same least token under a random order the members are compared
-   with the group's least member only, which is linear however large a group of near copies is.
+   with one central member only, which is linear however large a group of near copies is.
 4. What these links leave apart is joined on the tokens of the first order, but only between different
-   components; the pairs must also share prefix tokens under the other two orders before they are verified.
+   components and where enough shared tokens follow the common one in both sets; the pairs must also share
+   prefix tokens under the other two orders before they are verified.
 
 Verification counts the shared shingles exactly.  Nothing is capped; results aren't sampled.  Nulls: a null
 text is empty; an empty set links with nothing and its component is its own id; a null doc_id gives a null
@@ -202,8 +203,9 @@ def _prefixes(percent: int):
                 orders = [tok[np.lexsort((mix(tok ^ s), r))[:prefix]].view(np.int64) for s, r in zip(SEEDS, ranks, strict=True)]
                 stars = np.array([tok[np.argmin(mix(tok ^ s))] ^ s for s in STARS], U).view(np.int64)
                 keep = [tok.view(np.int64), *orders, stars]
-            rows.append((np.int64(c.view(np.int64)), n, None if i == NO_ID else int(i), *keep))
-        return pd.DataFrame(rows, columns=["cls", "n", "low", "tokens", "first", "second", "third", "stars"]).astype({"low": "Int64"})
+            middle = float(code.sum(dtype=np.int64)) / n if keep[0] is not None else 0.0
+            rows.append((np.int64(c.view(np.int64)), n, None if i == NO_ID else int(i), middle, *keep))
+        return pd.DataFrame(rows, columns=["cls", "n", "low", "middle", "tokens", "first", "second", "third", "stars"]).astype({"low": "Int64"})
 
     return run
 
@@ -231,21 +233,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     counted = cut(dealt.groupBy("part").applyInPandas(_count(parts), PACKED + ", doc_id long, n long, cls long"))
     array = "array<bigint>"
     classes = cut(
-        counted.where(F.col("kind") != DOC).groupBy("part").applyInPandas(_prefixes(percent), f"cls long, n long, low long, tokens {array}, first {array}, second {array}, third {array}, stars {array}")
+        counted.where(F.col("kind") != DOC).groupBy("part").applyInPandas(_prefixes(percent), f"cls long, n long, low long, middle double, tokens {array}, first {array}, second {array}, third {array}, stars {array}")
     )
     sets = classes.where("tokens is not null")
 
-    keyed = sets.select("cls", F.explode("stars").alias("key"))
-    star = keyed.groupBy("key").agg(F.min("cls").alias("y"), F.count("*").alias("members")).where("members > 1").drop("members")
+    keyed = sets.select("cls", "middle", F.explode("stars").alias("key"))
+    star = keyed.groupBy("key").agg(F.max_by("cls", F.struct("middle", "cls")).alias("y"), F.count("*").alias("members")).where("members > 1").drop("members")
     pairs = keyed.withColumnRenamed("cls", "x").join(star, "key").where("x <> y").select("x", "y").distinct()
     near = cut(components(_verified(pairs, sets, percent)))
 
-    at = sets.join(near, sets.cls == near.node, "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), "first")
-    keyed = cut(at.select("cls", "n", "comp", F.explode("first").alias("key")))
+    at = sets.join(near, sets.cls == near.node, "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.size("tokens").alias("own"), "first")
+    keyed = cut(at.select("cls", "n", "comp", "own", F.posexplode("first").alias("place", "key")).select("cls", "n", "comp", "key", (F.col("own") - F.col("place")).alias("rest")))
     open_keys = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     left = cut(keyed.join(open_keys, "key"))
-    x, y = (left.select("key", F.col("cls").alias(s), F.col("n").alias(f"size_{s}"), F.col("comp").alias(f"comp_{s}")) for s in ("x", "y"))
-    pairs = x.join(y, "key").where(f"comp_x < comp_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)").select("x", "y").distinct()
+    x, y = (left.select("key", F.col("cls").alias(s), F.col("n").alias(f"size_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("rest").alias(f"rest_{s}")) for s in ("x", "y"))
+    # The first token that two sets share in the order has all the others behind it, in either set.
+    reach = f"{100 + percent} * least(rest_x, rest_y) >= {percent} * (size_x + size_y)"
+    pairs = x.join(y, "key").where(f"comp_x < comp_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) and {reach}").select("x", "y").distinct()
     rest = _verified(pairs, sets, percent)
     hop = near.select("node", "root")
     rest = rest.join(hop.toDF("a", "ra"), "a", "left").join(hop.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
