@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, jaccard, langid, linedup, quality, toxicity
+from scorelake.llm import bpe, jaccard, langid, linedup, mixing, quality, toxicity
 from scorelake.llm.common import documents, remainder
 
 
@@ -48,6 +48,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("_th")
+
+
 LINE_DEDUP_SQL = r"""
 WITH line AS (
   SELECT doc_id, text, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
@@ -72,13 +76,46 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
+MIXING_SQL = r"""
+WITH RECURSIVE row_ AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS th, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents),
+src AS (SELECT source, sum(n_tokens)::DOUBLE AS tokens, count(*) AS texts FROM row_ GROUP BY source),
+p AS (SELECT source, tokens / (SELECT sum(tokens) FROM src) AS p FROM src WHERE tokens > 0),
+target AS (SELECT sum(-p * ln(p)) + 0.5 * (ln(count(*)) - sum(-p * ln(p))) AS h FROM p),
+bisect AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN good THEN lo ELSE (lo + hi) / 2 END, CASE WHEN good THEN (lo + hi) / 2 ELSE hi END
+  FROM (SELECT b.*, (SELECT ln(sum(pow(p, (lo + hi) / 2))) - (lo + hi) / 2 * sum(pow(p, (lo + hi) / 2) * ln(p)) / sum(pow(p, (lo + hi) / 2)) <= (SELECT h FROM target)
+    AND max(pow(p, (lo + hi) / 2) / p) / sum(pow(p, (lo + hi) / 2)) <= 4.0 FROM p) AS good FROM bisect b WHERE k < 45)),
+alpha AS (SELECT hi AS a FROM bisect ORDER BY k DESC LIMIT 1),
+wanted AS (
+  SELECT source, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT sum(tokens) FROM src), (SELECT a FROM alpha) - 1) / (SELECT sum(pow(p, (SELECT a FROM alpha))) FROM p) ELSE 1.0 END AS times,
+    ceil(texts / 128)::BIGINT AS blocks FROM src),
+placed AS (
+  SELECT r.*, times, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || th || ':1:block'), 1, 8))::BIGINT % blocks AS block,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || th || ':1:order'), 1, 8))::BIGINT AS ord
+  FROM row_ r JOIN wanted w ON r.source IS NOT DISTINCT FROM w.source),
+run AS (
+  SELECT *, sum(n_tokens) OVER o AS upto, sum(n_tokens) OVER (PARTITION BY source, block) AS total, rank() OVER o AS place
+  FROM placed WINDOW o AS (PARTITION BY source, block ORDER BY ord, doc_id, th)),
+used AS (
+  SELECT *, floor(times + 1e-6) AS full_, greatest(times - floor(times + 1e-6), 0) AS rest FROM run),
+counted AS (SELECT *, (full_ + CASE WHEN rest > 1e-6 AND upto - n_tokens / 2 <= rest * total THEN 1 ELSE 0 END)::INT AS copies FROM used)
+SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, UNNEST(range(1, copies + 1))::BIGINT AS epoch, block::BIGINT AS block, place::BIGINT AS place FROM counted WHERE copies > 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op6_bpe": op6_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": LINE_DEDUP_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": MIXING_SQL,
+    "op10_line_dedup": LINE_DEDUP_SQL,
+}
