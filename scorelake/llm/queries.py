@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, jaccard, langid, linedup, mixing, quality, toxicity
+from scorelake.llm import bpe, imatch, jaccard, langid, linedup, mixing, quality, toxicity
 from scorelake.llm.common import documents, remainder
 
 
@@ -37,6 +37,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), vocabulary())
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = remainder(F.col("doc_id"), 5) == 0
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -110,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op6_bpe": op6_bpe,
+    "op7_imatch": op7_imatch,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
