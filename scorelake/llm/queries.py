@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm import bpe, imatch, jaccard, langid, linedup, mixing, quality, toxicity
+from scorelake.llm import bpe, imatch, jaccard, langid, linedup, mixing, quality, secrets, toxicity
 from scorelake.llm.common import documents, remainder
 
 
@@ -18,6 +18,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), secrets.labelled_findings(spark))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"), words=5, percent=75)
 
@@ -110,6 +114,7 @@ SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, UNNEST(range(1, copies + 1)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
