@@ -43,7 +43,7 @@ def quantize(x: Column) -> Column:
     """A value in -1..1 to a byte in -127..127, halves away from zero; NaN becomes 0, null stays null."""
     scaled = F.round(x * F.lit(SCALE).cast("float"))
     held = F.greatest(F.lit(-SCALE).cast("float"), F.least(F.lit(SCALE).cast("float"), scaled))
-    return F.when(F.isnan(x), F.lit(0)).otherwise(held).cast("tinyint")
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), F.lit(0)).otherwise(held).cast("tinyint")
 
 
 def quantize_vector(v: Column) -> Column:

@@ -52,7 +52,7 @@ def read_normalization(spark: SparkSession, path: str) -> Normalization:
 
 def read_mcc_risk(spark: SparkSession, path: str) -> dict[str, float]:
     """One JSON object of category to risk; any keys."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,float>").alias("m")).limit(2).collect()
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,float>").alias("m")).limit(2).collect()
     if len(rows) != 1 or rows[0].m is None:
         raise ConfigError(f"{path} must hold one object of numbers")
     return {k: v for k, v in rows[0].m.items() if v is not None}
