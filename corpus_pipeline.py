@@ -11,19 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import bpe, jaccard, linedup, mixing, quality
-from scorelake.llm.common import WORD_CLASS, cut, documents
+from scorelake.llm.common import cut, documents
 from scorelake.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their group's fences reject go."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated line chunks go; so does a document that has no word left after losing some."""
-    left = linedup.dedup(docs).where((F.col("n_gone_chunks") == 0) | F.col("text").rlike(WORD_CLASS))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = linedup.keep(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to the target weights uses it; one that it doesn't use goes."""
-    return mixing.mix(docs, budget=1.0, flatten=0.5, repeats=4.0).select(*docs.columns)
+    return mixing.keep(docs, budget=1.0, flatten=0.5, repeats=4.0)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ time while the two were being built (`Merges.side_by_side`); that local test is
 Decoding maps ids to bytes and feeds them to an incremental byte-to-text state machine that replaces
 malformed sequences.
 
-Null and empty texts give no tokens and the empty text.  Extra columns of the input aren't read.
+Null and empty texts give no tokens and the empty text.  Extra columns are carried along; one named like a
+result gives way to it.
 """
 
 from __future__ import annotations
@@ -359,7 +360,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     import pyarrow as pa
 
     ship(df.sparkSession)
-    kept = [c for c in df.columns if c != text]
+    kept = [c for c in df.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
     out = df.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 
     def run(batches):

@@ -50,6 +50,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def boxed(df: DataFrame, *own: str) -> DataFrame:
+    """The columns that an operator works on, and all others in one struct ``_rest``, where no name can clash."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    return df.select(*own, (F.struct(*rest) if rest else F.lit(None)).alias("_rest"))
+
+
+def unboxed(df: DataFrame, columns: list[str], own: tuple[str, ...], **results: Column) -> DataFrame:
+    """The columns again in their order, then the results; a column named like a result gives way to it."""
+    back = [F.col(c) if c in own else F.col("_rest").getField(c).alias(c) for c in columns if c not in results]
+    return df.select(*back, *(v.alias(k) for k, v in results.items()))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -8,7 +8,7 @@ compared byte by byte; of equal ones the first, by (doc_id, hash of the text, pl
 removed with their lines.  The other lines of a text stay as they are; a text that loses all becomes empty.
 
 Nulls: a null text stays null; rows without a doc_id come before all others.  Equal rows (doc_id and text) keep
-or lose a chunk together.  Extra columns stay untouched.
+or lose a chunk together.  Extra columns stay untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import WORD_CLASS, cut, let
+from scorelake.llm.common import WORD_CLASS, boxed, cut, let, unboxed
 
 KEY = ("doc_id", "_th")
 
@@ -64,16 +64,32 @@ def removals(docs: DataFrame, every: int = 2, long_words: int = 50) -> DataFrame
     return later.groupBy(*KEY).agg(F.collect_set("place").alias("gone"))
 
 
+OWN = ("doc_id", "text")
+
+
+def _deduped(docs: DataFrame, every: int, long_words: int) -> DataFrame:
+    gone = removals(docs.select(*OWN), every, long_words).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "gone")
+    both = boxed(docs, *OWN).withColumn("_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left")
+    left = let(chunks_of(F.col("text"), every, long_words), lambda c: F.filter(c, lambda x, i: ~F.array_contains("gone", i)))
+    lost = F.struct(
+        let(left, lambda c: F.struct(F.array_join(F.flatten(F.transform(c, lambda x: x["lines"])), "\n").alias("text"), F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["lines"])).alias("n"))).alias("d"),
+    )
+    # A generator, so that the chunks are made once for all that is read off them, and only where some go.
+    done = both.select("doc_id", "text", "gone", "_rest", F.explode(F.array(F.when(F.col("gone").isNotNull(), lost))).alias("_d"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(n_lines - F.col("_d.d.n")).cast("long")
+    chunks = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.col("_d.d.text"))
+    return done.select("doc_id", text.alias("text"), "_rest", n_lines.alias("n_lines"), n_gone.alias("n_gone_lines"), chunks.alias("n_gone_chunks"))
+
+
 def dedup(docs: DataFrame, every: int = 2, long_words: int = 50) -> DataFrame:
     """``docs`` (doc_id, text, ...) without repeated chunks, with ``n_lines`` before, ``n_gone_lines`` and ``n_gone_chunks``."""
-    gone = removals(docs.select("doc_id", "text"), every, long_words).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "gone")
-    both = docs.withColumn("_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left").drop("_id", "_h", "_th")
-    chunks = lambda: chunks_of(F.col("text"), every, long_words)
-    left = let(chunks(), lambda c: F.filter(c, lambda x, i: ~F.array_contains("gone", i)))
-    join = lambda c: F.array_join(F.flatten(F.transform(c, lambda x: x["lines"])), "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(left, join))
-    lines = lambda c: F.coalesce(F.size(F.split(c, "\n", -1)), F.lit(0))
-    n_left = F.when(F.col("gone").isNull(), lines(F.col("text"))).otherwise(let(left, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["lines"]))))
-    rest = [c for c in docs.columns if c != "text"]
-    done = both.select(*rest, F.explode(F.array(F.struct(kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(lines(F.col("text"))).cast("long").alias("n_lines"), n_left.cast("long").alias("n_left"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_gone_chunks")))).alias("_d"))
-    return done.select(*(F.col("_d.text") if c == "text" else F.col(c) for c in docs.columns), F.col("_d.n_lines"), F.when(F.col("_d.text").isNull(), 0).otherwise(F.col("_d.n_lines") - F.col("_d.n_left")).alias("n_gone_lines"), F.col("_d.n_gone_chunks"))
+    counts = {c: F.col(c) for c in ("n_lines", "n_gone_lines", "n_gone_chunks")}
+    return unboxed(_deduped(docs, every, long_words), docs.columns, OWN, **counts)
+
+
+def keep(docs: DataFrame, every: int = 2, long_words: int = 50) -> DataFrame:
+    """``docs`` without repeated chunks, with its columns; a row that has no word left after losing some goes."""
+    left = _deduped(docs, every, long_words).where((F.col("n_gone_chunks") == 0) | F.col("text").rlike(WORD_CLASS))
+    return unboxed(left, docs.columns, OWN)

@@ -10,7 +10,8 @@ its budget, the same part of its own tokens, and takes texts in that order while
 budget.  So no source is sorted as a whole, however large, and the errors of the blocks cancel.
 
 Tokens are words.  Nulls: a null text has no tokens; a null source is a source.  A source without tokens keeps
-each text once.  Equal rows (doc_id and text) are placed alike.  Extra columns stay untouched.
+each text once.  Equal rows (doc_id and text) are placed alike.  Extra columns stay untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.llm.common import WORD_CLASS, cut
+from scorelake.llm.common import WORD_CLASS, boxed, cut, unboxed
 
 
 def chance(*parts: Column | str) -> Column:
@@ -85,9 +86,20 @@ def plan(docs: DataFrame, budget: float = 1.0, flatten: float = 0.5, repeats: fl
     return at.where(copies > 0).select("doc_id", "source", "_th", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("epoch"), "block", "place")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with each row as often as the plan uses it, and its ``epoch``, ``block`` and ``place``."""
+OWN = ("doc_id", "text", "source")
+
+
+def _mixed(docs: DataFrame, **options) -> DataFrame:
     used = plan(docs, **options).distinct().select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), F.col("source").alias("_s"), "epoch", "block", "place")
-    rows = docs.withColumn("_th", F.md5(F.coalesce("text", F.lit(""))))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_s"))
-    return rows.join(used, on).drop("_id", "_h", "_s", "_th")
+    return boxed(docs, *OWN).withColumn("_th", F.md5(F.coalesce("text", F.lit("")))).join(used, on)
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (doc_id, text, source, ...) with each row as often as the plan uses it, and its ``epoch``, ``block`` and ``place``."""
+    return unboxed(_mixed(docs, **options), docs.columns, OWN, **{c: F.col(c) for c in ("epoch", "block", "place")})
+
+
+def keep(docs: DataFrame, **options) -> DataFrame:
+    """The mix with the columns of ``docs`` only."""
+    return unboxed(_mixed(docs, **options), docs.columns, OWN)

@@ -11,7 +11,8 @@ A fence stands ``spread`` interquartile ranges outside the quartiles, and not ne
 rate's own grain (`RATES`), so that groups of equal values don't reject their neighbours.
 
 Nulls: a null text is empty and fails the base rules; null languages and sources form groups of their own.
-Repeated rows are judged alike.  Extra columns stay untouched.
+Repeated rows are judged alike.  Extra columns stay untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.llm.common import SPACES, code_points, cut, let, words
+from scorelake.llm.common import SPACES, boxed, code_points, cut, let, unboxed, words
 
 #: For each rate: its value in ten-thousandths from the counts, whether the low side counts too, and its grain.
 RATES = {
@@ -117,14 +118,27 @@ def fences(sketch: DataFrame, spread: int, least: int) -> DataFrame:
     return out.select("lang", "source", F.transform("b", lambda x: x["low"]).alias("low"), F.transform("b", lambda x: x["high"]).alias("high"))
 
 
+OWN = ("text", "lang", "source")
+
+
+def _judged(docs: DataFrame, spread: int, least: int) -> DataFrame:
+    limits = cut(fences(cut(sketches(docs.select(*OWN))), spread, least))
+    return _against(boxed(docs, *OWN), limits, limits.count() <= MOST_SENT)
+
+
 def judged(docs: DataFrame, spread: int = 4, least: int = 200) -> DataFrame:
-    """``docs`` (with text, lang, source) with ``q`` (base counts), ``base_failed`` and ``kept``.
+    """``docs`` (text, lang, source, ...) with the base counts, ``base_failed`` and ``kept``.
 
     Two passes over the texts and no shuffle of them: the first gathers the sketches, the second judges each
     row against its group's fences.
     """
-    limits = cut(fences(cut(sketches(docs)), spread, least))
-    return _against(docs, limits, limits.count() <= MOST_SENT)
+    counts = {c: F.col(f"q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    return unboxed(_judged(docs, spread, least), docs.columns, OWN, **counts, base_failed=F.col("base_failed"), kept=F.col("kept"))
+
+
+def keep(docs: DataFrame, spread: int = 4, least: int = 200) -> DataFrame:
+    """The rows of ``docs`` that are kept, with its columns."""
+    return unboxed(_judged(docs, spread, least).where("kept"), docs.columns, OWN)
 
 
 def _against(docs: DataFrame, limits: DataFrame, few: bool) -> DataFrame:
