@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -324,13 +325,12 @@ def _ids(block: bytes) -> list[int]:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with a column of token ids."""
-    import pandas as pd
     from pyspark.sql import types as T
 
     ship(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = Encoder(merges_at(path))
         for batch in batches:
             yield pd.Series([[i for block in blocks for i in _ids(block)] for blocks in enc.encode_all(batch)], dtype=object)
@@ -344,7 +344,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     ship(df.sparkSession)
 
     @F.pandas_udf("string")
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         merges = merges_at(path)
         for batch in batches:
             yield batch.map(lambda x: Decoder(merges).feed([] if x is None else x, True))
