@@ -238,13 +238,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     sets = classes.where("tokens is not null")
 
     keyed = sets.select("cls", "middle", F.explode("stars").alias("key"))
-    star = keyed.groupBy("key").agg(F.max_by("cls", F.struct("middle", "cls")).alias("y"), F.count("*").alias("members")).where("members > 1").drop("members")
+    # Aggregates are written before they are joined to their own rows, as only then a hot key's rows can be split.
+    star = cut(keyed.groupBy("key").agg(F.max_by("cls", F.struct("middle", "cls")).alias("y"), F.count("*").alias("members")).where("members > 1").drop("members"))
     pairs = keyed.withColumnRenamed("cls", "x").join(star, "key").where("x <> y").select("x", "y").distinct()
     near = cut(components(_verified(pairs, sets, percent)))
 
     at = sets.join(near, sets.cls == near.node, "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.size("tokens").alias("own"), "first")
     keyed = cut(at.select("cls", "n", "comp", "own", F.posexplode("first").alias("place", "key")).select("cls", "n", "comp", "key", (F.col("own") - F.col("place")).alias("rest")))
-    open_keys = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_keys = cut(keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
     left = cut(keyed.join(open_keys, "key"))
     x, y = (left.select("key", F.col("cls").alias(s), F.col("n").alias(f"size_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("rest").alias(f"rest_{s}")) for s in ("x", "y"))
     # The first token that two sets share in the order has all the others behind it, in either set.
@@ -257,7 +258,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
 
     root = classes.join(near, classes.cls == near.node, "left").select("cls", "low", F.coalesce("root", "cls").alias("r1"))
     root = root.join(far, root.r1 == far.node, "left").select("cls", "low", F.coalesce("root", "r1").alias("r"))
-    linked = root.groupBy("r").agg(F.min("low").alias("least"))
+    linked = cut(root.groupBy("r").agg(F.min("low").alias("least")))
     label = root.join(linked, "r").select("cls", "least")
     own = counted.where(F.col("kind") == DOC).select("doc_id", "n", "cls")
     return own.join(label, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
