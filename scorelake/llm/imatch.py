@@ -37,9 +37,9 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), SPLIT), lambda t: t != ""), lambda t: F.xxhash64(t)))
 
 
-def common_terms(docs: DataFrame, most: float) -> list[int]:
-    """The hashes of terms in more than ``most`` of the texts, counted over all of them."""
-    n = docs.count()
+def common_terms(docs: DataFrame, most: float, n: int | None = None) -> list[int]:
+    """The hashes of terms in more than ``most`` of the (n) texts, counted over all of them."""
+    n = docs.count() if n is None else n
     seen = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     got = [r.t for r in seen.where(F.col("df") > most * n).select("t").limit(MOST_LISTED + 1).collect()]
     if len(got) > MOST_LISTED:
@@ -106,7 +106,8 @@ def fingerprints(docs: DataFrame, most: float = 0.02) -> DataFrame:
     The edited text has its last quarter replaced by as much of the next text.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    left_out = common_terms(docs, most)
+    n_docs = docs.count()
+    left_out = common_terms(docs, most, n_docs)
     keyed = docs.withColumn("_th", F.xxhash64("text"))
     keys = cut(keyed.groupBy("doc_id", "_th").agg(F.max(F.length("text")).alias("n")).select(F.struct("doc_id", "_th").alias("k"), "n"))
     first = keys.agg(F.min("k").alias("k")).first()
@@ -120,6 +121,8 @@ def fingerprints(docs: DataFrame, most: float = 0.02) -> DataFrame:
 
     texts = keyed.select("*", F.explode(F.array(fingerprint(F.col("text"), left_out))).alias("fingerprint"))
     heads = texts.join(cut(after), same).select(F.col("_for.doc_id").alias("_id"), F.col("_for._th").alias("_h"), F.substring(F.col("text"), F.lit(1), F.col("_take")).alias("_head"), F.col("fingerprint").alias("_next"))
+    if keys.count() < n_docs:  # equal rows would each bring the same head
+        heads = heads.dropDuplicates(["_id", "_h"])
     both = texts.join(heads, same, "left")
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.coalesce("_head", F.lit("")))

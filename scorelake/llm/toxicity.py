@@ -60,6 +60,8 @@ class Machine:
         told = self.w[at] != 0
         at, owner = at[told], owner[told]
         x = _values(sizes)[owner]
+        if not len(at):
+            return np.full(len(sizes), self.bias)
         out = np.bincount(owner, self.w[at] * x, len(sizes))
         for f in range(self.v.shape[1]):
             vx = self.v[at, f] * x

@@ -1,0 +1,214 @@
+"""The operators made of DataFrame expressions only, against plain Python."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from scorelake.llm import imatch, linedup, mixing, quality, secrets
+from tests.llm.conftest import prose, table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def test_quality_base(spark, odd, odd_texts, empty):
+    rng = random.Random(3)
+    looped = [" ".join([prose(rng, 9, 50)] * 3), "a " * 40, " ".join(f"w{i % 9}" for i in range(60)), prose(rng, 20) + "\n" + "x y\nx y\n \nx y"]
+    rows = quality.judged(odd.unionByName(table(spark, looped, 100))).collect()
+    assert len(rows) == odd.count() + len(looped)
+    texts = dict(enumerate(odd_texts)) | {100 + i: t for i, t in enumerate(looped)}
+    for r in rows:
+        if r.doc_id is not None:
+            want = base(texts[r.doc_id])
+            assert tuple(r[c] for c in NAMES) == want
+            assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
+            assert not (r.base_failed and r.kept)
+    assert quality.judged(empty).collect() == [] and quality.keep(empty).columns == empty.columns
+    kept = quality.keep(odd)
+    assert kept.columns == odd.columns and kept.select("kept", "q", "gone").distinct().count() <= 1
+
+
+def test_quality_fences_adapt_and_spare_clean_texts(spark):
+    rng = random.Random(4)
+    clean = [prose(rng, 60) for _ in range(80)]
+    junk = [" ".join(w + "###" for w in prose(rng, 60).split()) for _ in range(8)]
+    got = {r.doc_id: r.kept for r in quality.judged(table(spark, clean + junk)).collect()}
+    assert all(got[i] for i in range(80)) and not any(got[80 + i] for i in range(8))
+    tables = table(spark, [" | ".join(prose(rng, 60).split()) for _ in range(90)])
+    assert quality.judged(tables).where("kept").count() == 90  # where marks are usual they don't reject
+
+
+def test_quality_fences_joined_by_group_are_the_same(spark):
+    rng = random.Random(5)
+    docs = table(spark, [prose(rng, rng.randrange(10, 90)) + " ###" * rng.choice([0, 0, 0, 30]) for _ in range(60)]).select("doc_id", "text", "lang", "source")
+    limits = quality.fences(quality.sketches(docs), 4, 10)
+    boxed = quality.boxed(docs, *quality.OWN)
+    few, many = (sorted((r.text, r.kept) for r in quality._against(boxed, limits, f).collect()) for f in (True, False))
+    assert few == many and len(few) == 60
+
+
+def test_quality_buckets_are_within_a_thirty_second(spark):
+    rows = spark.range(0, 200_000, 7).select("id", quality.bucket(F.col("id")).alias("b"))
+    assert rows.where("b > id or id - b > id / 32").count() == 0
+
+
+def plain_chunks(text):
+    lines = text.split("\n")
+    known = [(int(hashlib.md5(s.encode()).hexdigest()[:8], 16), len(WORD.findall(s))) for s in lines]
+    out, now = [], []
+    for i, (h, w) in enumerate(known):
+        now.append(i)
+        ahead = i + 1 < len(known) and known[i + 1][1] >= 50
+        if w >= 50 or ahead or (h + 3 * (known[i - 1][0] if i else 0)) % 2 == 0 or i + 1 == len(known):
+            part = sum(known[j][1] > 0 for j in now) >= 2 or any(known[j][1] >= 50 for j in now)
+            out.append(("\n".join(lines[j] for j in now), part, len(now)))
+            now = []
+    return out
+
+
+def plain_dedup(texts):
+    seen, out = set(), []
+    for t in texts:
+        left, gone = [], 0
+        for c, part, n in plain_chunks(t):
+            if part and c in seen:
+                gone += n
+            else:
+                left.append(c)
+            if part:
+                seen.add(c)
+        out.append(("\n".join(left), gone))
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(6)
+    passage = "\n".join(prose(rng, 12) for _ in range(8))
+    long = prose(rng, 70)
+    texts = []
+    for _ in range(30):
+        own = [prose(rng, rng.randrange(1, 15)) for _ in range(rng.randrange(1, 8))]
+        own.insert(rng.randrange(len(own) + 1), rng.choice([passage, long, "", "the end\nof it"]))
+        texts.append("\n".join(own))
+    texts += texts[:5]
+    got = {r.doc_id: (r.text, r.n_gone_lines) for r in linedup.dedup(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_dedup(texts)
+    assert sum(passage in t for t, _ in got.values()) <= 1 and sum(long in t for t, _ in got.values()) == 1
+
+
+def test_line_dedup_of_odd_rows(odd, empty):
+    rows = linedup.dedup(odd).collect()
+    assert len(rows) == odd.count() and [r.text for r in rows if r.doc_id == 0] == [None]
+    assert all(r.q == "q" and r.gone == 1 and r["_th"] == "h" for r in rows)
+    assert linedup.keep(odd).columns == odd.columns and linedup.dedup(empty).collect() == []
+
+
+def test_mixing_meets_its_targets(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randrange(5, 40)), "big" if i < 1500 else f"s{i % 4}") for i in range(1900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    used = mixing.plan(docs, block=64).collect()
+    tokens = Counter()
+    for _, t, s in rows:
+        tokens[s] += len(t.split())
+    total, got = sum(tokens.values()), Counter()
+    for r in used:
+        got[r.source] += r.n_tokens
+    entropy = lambda c: -sum(v / sum(c.values()) * math.log(v / sum(c.values())) for v in c.values())
+    target = entropy(tokens) + 0.5 * (math.log(5) - entropy(tokens))
+    assert abs(sum(got.values()) - total) < 0.02 * total and abs(entropy(got) - target) < 0.02
+    epochs = defaultdict(set)
+    for r in used:
+        assert r.epoch not in epochs[r.doc_id]
+        epochs[r.doc_id].add(r.epoch)
+    assert all(e == set(range(1, max(e) + 1)) for e in epochs.values()) and max(map(max, epochs.values())) <= 4
+    limited = mixing.plan(docs, flatten=1.0, repeats=1.5).collect()
+    assert max(r.epoch for r in limited) <= 2
+    with pytest.raises(ValueError):
+        mixing.plan(docs, budget=5.0, repeats=4.0)
+
+
+def test_mixing_of_odd_rows(odd, empty):
+    got = mixing.mix(odd)
+    assert {"epoch", "block", "place"} <= set(got.columns) and got.count() >= 1
+    assert mixing.keep(odd).columns == odd.columns
+    assert mixing.plan(empty).collect() == []
+
+
+def edited(texts):
+    return [t[: len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][: len(t) // 4] for i, t in enumerate(texts)]
+
+
+def test_fingerprints(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randrange(30, 200), 5000) for _ in range(120)]
+    texts[70] = texts[20]
+    rows = sorted(imatch.fingerprints(table(spark, texts)).collect())
+    want = edited(texts)
+    assert [r.edited_sha256 for r in rows] == [hashlib.sha256(t.encode()).hexdigest() for t in want]
+    assert rows[70].fingerprint == rows[20].fingerprint and len({r.fingerprint for r in rows}) == 119
+    assert sum(r.near_edited for r in rows) / 120 > 0.35 and sum(r.near_next for r in rows) / 120 < 0.05
+    again = imatch.common_terms(table(spark, ["the a b", "the c", "the d e", ""]), 0.5)
+    assert len(again) == 1
+
+
+def test_fingerprints_of_odd_rows(spark, odd, empty):
+    rows = imatch.fingerprints(odd).collect()
+    assert len(rows) == odd.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and r.fingerprint for r in rows)
+    assert len({r.fingerprint for r in rows if r.doc_id in (3, 11)}) == 1
+    assert imatch.fingerprints(empty).collect() == []
+    one = imatch.fingerprints(table(spark, ["abcdefgh"])).first()
+    assert one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
+
+
+def test_following_is_the_next_in_order(spark):
+    rng = random.Random(10)
+    ids = sorted(rng.sample(range(-5000, 400_000), 300))
+    keys = spark.createDataFrame([((i, 0),) for i in ids], "k struct<doc_id: long, _th: long>")
+    got = {r.k.doc_id: r.after and r.after.doc_id for r in imatch.following(keys).collect()}
+    assert [got[i] for i in ids] == [*ids[1:], None]
+
+
+SECRETS = ['api_key = "9f8A7b6C5d4E3f2A1b0C9d8E7f6A5b4C"', "password: zX9kQ2mP7vL4nR8tW1yB", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"']
+OTHERS = ["commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "see /the/road/to/nowhere/v2.html", "mail to station.terminal12@mail6.example.com", "the internationalization2 of it", "sha256: 24be64439e3e49cf46b2d7c90f3602a3"]
+
+
+def test_secrets(spark):
+    rng = random.Random(11)
+    docs = table(spark, [f"{prose(rng, 20)}\n{s} {prose(rng, 9)}" for s in SECRETS + OTHERS])
+    hits = secrets.scan(docs, secrets.labelled_findings(spark)).where("is_secret").collect()
+    assert {r.doc_id for r in hits} == {0, 1, 2}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs.select("doc_id", "text"), secrets.labelled_findings(spark)).collect()}
+    assert "[SECRET]" in clean[0] and "9f8A7b6C" not in clean[0] and "24be6443" in clean[3]
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    rows = secrets.labelled_findings(spark)
+    held = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
+    model = secrets.train(rows.where(~held))
+    test = rows.where(held)
+    got = model.transform(test.select("label", *secrets.features(F.col("candidate"), F.col("before"), F.col("after")))).collect()
+    assert len(got) > 500 and sum(r.label == r._prediction for r in got) / len(got) > 0.97
+
+
+def test_secret_candidates_of_odd_rows(spark, odd, empty):
+    two = table(spark, ['a = "abcdefgh12345678" b = "abcdefgh12345678"', "A" * 600 + "1" * 600], 50)
+    got = secrets.candidates(odd.unionByName(two)).collect()
+    assert [(r.doc_id, r.place, r.candidate) for r in sorted(got)] == [(50, 0, "abcdefgh12345678"), (50, 1, "abcdefgh12345678")]
+    assert got[0].before.endswith('a = "') and secrets.candidates(empty).collect() == []
