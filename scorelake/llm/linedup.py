@@ -59,7 +59,8 @@ def removals(docs: DataFrame, every: int = 2, long_words: int = 50) -> DataFrame
     rows = rows.select(*KEY, "c.place", "c.chunk", F.xxhash64("c.chunk").alias("h"))
     again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     seen = cut(rows.join(again, "h", "left_semi"))
-    first = seen.groupBy("h", "chunk").agg(F.min(F.struct(*KEY, "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written first, so that the rows of a chunk with very many copies can be split in the join.
+    first = cut(seen.groupBy("h", "chunk").agg(F.min(F.struct(*KEY, "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = seen.join(first, ["h", "chunk"]).where(F.struct(*KEY, "place") > F.col("first"))
     return later.groupBy(*KEY).agg(F.collect_set("place").alias("gone"))
 
