@@ -131,7 +131,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+NGRAM_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS g
+  FROM w, UNNEST(range(1, greatest(len(ws) - 3, 2))) r(i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes sx ON sx.doc_id = x JOIN sizes sy ON sy.doc_id = y WHERE 100 * o >= 75 * (sx.n + sy.n - o)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM reach r JOIN edges e ON e.x = r.b)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id
+"""
+
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS x FROM w, UNNEST(range(1, greatest(len(ws) - 6, 1))) r(i)),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c > 1),
+cover AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(0, 8) r(j) GROUP BY doc_id),
+base AS (
+  SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
+  FROM w LEFT JOIN cover c USING (doc_id)),
+rates AS (
+  SELECT *, n_symbols * 10000 // greatest(word_chars, 1) AS r0, n_dup_lines * 10000 // (n_lines + 6) AS r1, word_chars * 10000 // greatest(n_words, 1) AS r2 FROM base),
+cells AS (
+  SELECT lang, source, rate, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS cell
+  FROM (SELECT lang, source, UNNEST([0, 1, 2]) AS rate, UNNEST([r0, r1, r2]) AS v FROM rates WHERE n_words >= 20)),
+leveled AS (
+  SELECT 2 AS lv, lang, source, rate, cell FROM cells UNION ALL SELECT 1, lang, NULL, rate, cell FROM cells UNION ALL SELECT 0, NULL, NULL, rate, cell FROM cells),
+hist AS (SELECT lv, lang, source, rate, cell, count(*) AS n FROM leveled GROUP BY ALL),
+run AS (
+  SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, rate ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, rate) AS total FROM hist),
+quart AS (
+  SELECT lv, lang, source, rate, max(total) AS texts, min(cell) FILTER (WHERE upto * 4 >= total) AS q1, min(cell) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM run GROUP BY ALL),
+fence AS (
+  SELECT *, CASE WHEN rate = 2 THEN q1 - room ELSE -1 END AS lo, q3 + room AS hi
+  FROM (SELECT *, greatest((q3 - q1) * 4, ([300, 2500, 30000])[rate + 1]) AS room FROM quart)),
+groups AS (SELECT DISTINCT lang, source FROM cells),
+chosen AS (
+  SELECT g.lang, g.source, r.rate, arg_max(f.lo, f.lv) AS lo, arg_max(f.hi, f.lv) AS hi
+  FROM groups g CROSS JOIN (SELECT UNNEST([0, 1, 2]) AS rate) r
+  JOIN fence f ON f.rate = r.rate AND (f.lv = 0 OR f.lang IS NOT DISTINCT FROM g.lang AND f.texts >= 200 AND (f.lv = 1 OR f.source IS NOT DISTINCT FROM g.source))
+  GROUP BY ALL),
+verdict AS (
+  SELECT b.doc_id, bool_and(coalesce(([r0, r1, r2])[c.rate + 1] BETWEEN c.lo AND c.hi, true)) AS inside
+  FROM rates b LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM b.lang AND c.source IS NOT DISTINCT FROM b.source GROUP BY b.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND inside AS kept
+FROM rates JOIN verdict USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": NGRAM_JACCARD_SQL,
+    "op3_quality_rules": QUALITY_SQL,
     "op9_mixing": MIXING_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }
