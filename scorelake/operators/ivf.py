@@ -18,7 +18,7 @@ from scorelake import schemas
 from scorelake.config import IndexParams, Limits
 from scorelake.functions.vectors import quantize_vector, sq_l2
 from scorelake.operators.kmeans import assign, kmeans, sample
-from scorelake.operators.knn import blocks, distances, ranked
+from scorelake.operators.knn import blocks, exact_knn, ranked
 
 VERSION = 1
 #: Cluster ids go into the scan as literals up to so many; beyond, the probes are joined as they are.
@@ -132,4 +132,4 @@ class IvfIndex:
         """The k nearest by quantized distance over the whole index, without probing."""
         q = queries.select("query_id", quantize_vector(F.col("qvector")).alias("qq"))
         rows = self.vectors.select("vec_id", "qvec", "is_fraud")
-        return reduce(DataFrame.unionByName, [ranked(distances(b, rows, self.params.dims, "qq", "qvec", True), k or self.params.k) for b in blocks(q)])
+        return exact_knn(q, rows, k or self.params.k, self.params.dims, "qq", "qvec", True)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.config import IndexParams
-from scorelake.functions.vectors import sq_l2
+from scorelake.operators.batched import nearest_centroid
+from scorelake.workers import ship
 
 
 def hash_order(seed: int, key: str = "vec_id") -> Column:
@@ -34,14 +35,12 @@ def centroid_frame(spark: SparkSession, centroids: list) -> DataFrame:
 def assign(corpus: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
     """``corpus`` with the ``cluster_id`` of the nearest centroid, the lower number in a tie; NaN distances never win.
 
-    The centroids, at most a few thousand, are sent to every task; each row's minimum is taken before anything
-    is shuffled, as rows are grouped by their own id with a partial aggregate.
+    A projection: the centroids, a few thousand at most, come to the driver and go along with the expression,
+    so no row is shuffled or multiplied.
     """
-    pairs = corpus.select("vec_id", "vector").crossJoin(F.broadcast(centroids))
-    d = sq_l2(F.col("vector"), F.col("centroid"), dims)
-    best = pairs.select("vec_id", "cluster_id", F.when(F.isnan(d), F.lit(float("inf")).cast("float")).otherwise(d).alias("d"))
-    best = best.groupBy("vec_id").agg(F.min(F.struct("d", "cluster_id")).alias("m")).select("vec_id", F.col("m.cluster_id").alias("cluster_id"))
-    return corpus.join(best, "vec_id")
+    ship(corpus.sparkSession)
+    rows = [(r.cluster_id, r.centroid) for r in centroids.select("cluster_id", "centroid").collect()]
+    return corpus.withColumn("cluster_id", nearest_centroid(F.col("vector"), rows, dims))
 
 
 def means(assigned: DataFrame, dims: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact nearest neighbours: a stated set of queries against the whole corpus, in blocks.
 
-A block of queries is small by construction and is sent to every task; the corpus is only streamed past it.
-Each task keeps the k best of each query (the ranking's partial limit), so k rows for each query and task are
-shuffled however large the corpus is.  The order is total: distance, then id.
+A block of queries is small by construction and is sent to every task; the corpus is only streamed past it, in
+Arrow batches.  Each task keeps the k best of each query, so k rows for each query and task are shuffled and
+ranked, however large the corpus is.  The order is total: distance, then id.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from scorelake.config import Limits
 from scorelake.functions.vectors import sq_l2
+from scorelake.operators.batched import nearest_rows
 
 
 def blocks(queries: DataFrame, size: int = Limits.query_block) -> list[DataFrame]:
@@ -39,5 +40,5 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int, dims: int, q: str =
     """``queries`` (query_id, q) against ``corpus`` (vec_id, c, ...): the k nearest with rank and distance."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    parts = [ranked(distances(b, corpus, dims, q, c, exact_int), k) for b in blocks(queries.select("query_id", q), block)]
+    parts = [ranked(nearest_rows(b, corpus, k, dims, q, c, exact_int), k) for b in blocks(queries.select("query_id", q), block)]
     return reduce(DataFrame.unionByName, parts)
