@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.workers import ship
+
+__all__ = ["boxed", "code_points", "cut", "documents", "let", "partitions", "remainder", "shared_dir", "ship", "unboxed", "words"]
+
 #: White space that separates words: the six ASCII characters of ``[\x20\x09-\x0D]``.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
@@ -37,19 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where neither their path nor their folder has it."""
-    root, app = Path(__file__).resolve().parents[2], spark.sparkContext.applicationId
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if app not in _shipped and not any((Path(p) / "scorelake").is_dir() for p in known if p):
-        made = shutil.make_archive(f"{tempfile.mkdtemp()}/scorelake", "zip", root, "scorelake")
-        spark.sparkContext.addPyFile(made)
-    _shipped.add(app)
-
-
 def boxed(df: DataFrame, *own: str) -> DataFrame:
     """The columns that an operator works on, and all others in one struct ``_rest``, where no name can clash."""
     rest = [F.col(f"`{c}`") for c in df.columns if c not in own]

@@ -28,7 +28,7 @@ from scorelake.llm.common import let
 LONGEST = 512
 NEAR = 48
 #: A candidate; NEAR characters of its line on both sides are its surroundings.
-FOUND = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z0-9+/_=.\-]*[0-9])(?=[A-Za-z0-9+/_=.\-]*[A-Za-z])[A-Za-z0-9+/_=.\-]{16,512}(?![A-Za-z0-9+/_=.\-])"
+FOUND = r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z0-9+/_.\-]*[0-9])(?=[A-Za-z0-9+/_.\-]*[A-Za-z])[A-Za-z0-9+/_.\-]{16,512}={0,2}(?![A-Za-z0-9+/_=.\-])"
 #: Words before a secret, words that speak against one, and common syllables.
 SECRET_WORDS = "token secret password passwd pwd api_key apikey access_key auth bearer credential private_key client_secret session key"
 OTHER_WORDS = "sha1 sha256 md5 checksum commit digest hash uuid guid id version integrity etag example placeholder sample test path file url href src"

@@ -194,6 +194,8 @@ def test_secrets(spark):
     docs = table(spark, [f"{prose(rng, 20)}\n{s} {prose(rng, 9)}" for s in SECRETS + OTHERS])
     hits = secrets.scan(docs, secrets.labelled_findings(spark)).where("is_secret").collect()
     assert {r.doc_id for r in hits} == {0, 1, 2}
+    plain = secrets.scan(table(spark, ["run with api_key=9f8A7b6C5d4E3f2A1b0C9d8E7f6A== now"]), secrets.labelled_findings(spark)).collect()
+    assert [(r.candidate, r.is_secret) for r in plain] == [("9f8A7b6C5d4E3f2A1b0C9d8E7f6A==", True)]
     clean = {r.doc_id: r.text for r in secrets.redact(docs.select("doc_id", "text"), secrets.labelled_findings(spark)).collect()}
     assert "[SECRET]" in clean[0] and "9f8A7b6C" not in clean[0] and "24be6443" in clean[3]
 
