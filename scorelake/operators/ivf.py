@@ -21,6 +21,7 @@ from scorelake.operators.kmeans import assign, kmeans, sample
 from scorelake.operators.knn import blocks, exact_knn, ranked
 
 VERSION = 1
+STORED = "vec_id bigint, qvec array<tinyint>, vector array<float>, is_fraud boolean, cluster_id int"
 #: Cluster ids go into the scan as literals up to so many; beyond, the probes are joined as they are.
 MOST_LITERAL = 5000
 
@@ -79,13 +80,14 @@ class IvfIndex:
         return cls(centroids, rows.select("vec_id", "cluster_id", quantize_vector(F.col("vector")).alias("qvec"), "vector", "is_fraud"), params)
 
     def write(self, path: str) -> None:
-        """Rows of a cluster lie together, in id order; large clusters spread over several files."""
-        rows = self.vectors.repartition("cluster_id").sortWithinPartitions("cluster_id", "vec_id")
+        """Rows of a cluster lie together, in id order; a large cluster is split over tasks and files at run time."""
+        rows = self.vectors.hint("rebalance", "cluster_id").sortWithinPartitions("cluster_id", "vec_id")
         rows.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy("cluster_id").parquet(f"{path}/index")
         self.centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
-        n, m = self.vectors.count(), self.centroids.count()
+        spark = self.vectors.sparkSession
+        n, m = spark.read.schema(STORED).parquet(f"{path}/index").count(), self.centroids.count()
         meta = [(VERSION, n, m, self.params.dims, self.params.default_probes)]
-        self.vectors.sparkSession.createDataFrame(meta, schemas.INDEX_META).coalesce(1).write.mode("overwrite").parquet(f"{path}/index_meta")
+        spark.createDataFrame(meta, schemas.INDEX_META).coalesce(1).write.mode("overwrite").parquet(f"{path}/index_meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, probes: int = 0, k: int = 5) -> IvfIndex:
@@ -98,7 +100,7 @@ class IvfIndex:
         found = centroids.agg(F.count("*"), F.min(F.size("centroid")), F.max(F.size("centroid"))).first()
         if tuple(found) != (m.num_centroids, m.dims, m.dims):
             raise IndexFormatError(f"centroids (count, least and most dimensions) {tuple(found)}, expected {(m.num_centroids, m.dims, m.dims)}")
-        vectors = spark.read.schema("vec_id bigint, qvec array<tinyint>, vector array<float>, is_fraud boolean, cluster_id int").parquet(f"{path}/index")
+        vectors = spark.read.schema(STORED).parquet(f"{path}/index")
         if vectors.count() != m.num_vecs:
             raise IndexFormatError(f"the index doesn't hold {m.num_vecs} vectors")
         return cls(centroids, vectors, IndexParams(dims=m.dims, n_centroids=m.num_centroids, default_probes=probes or m.default_probes, k=k))

@@ -28,8 +28,10 @@ def forgy(corpus: DataFrame, n: int, seed: int) -> DataFrame:
     return centroid_frame(corpus.sparkSession, [r.vector for r in first])
 
 
-def centroid_frame(spark: SparkSession, centroids: list) -> DataFrame:
-    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centroids)], "cluster_id int, centroid array<float>").coalesce(1)
+def centroid_frame(spark: SparkSession, centroids: list | dict) -> DataFrame:
+    """(cluster_id, centroid), numbered in order unless a dict has the numbers."""
+    rows = sorted(centroids.items()) if isinstance(centroids, dict) else enumerate(centroids)
+    return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in rows], "cluster_id int, centroid array<float>").coalesce(1)
 
 
 def assign(corpus: DataFrame, centroids: DataFrame, dims: int) -> DataFrame:
@@ -60,9 +62,10 @@ def kmeans(corpus: DataFrame, params: IndexParams, start: DataFrame | None = Non
 
     The centroids (``n_centroids`` rows) come to the driver after each round, so the plan doesn't grow.
     """
-    spark = corpus.sparkSession
-    now = start if start is not None else forgy(corpus, params.n_centroids, params.seed)
+    ship(corpus.sparkSession)
+    first = start if start is not None else forgy(corpus, params.n_centroids, params.seed)
+    now = {r.cluster_id: r.centroid for r in first.select("cluster_id", "centroid").collect()}
     for _ in range(params.iters):
-        rows = sorted(lloyd_round(corpus, now, params.dims).collect())
-        now = centroid_frame(spark, [r.centroid for r in rows])
-    return now
+        at = nearest_centroid(F.col("vector"), list(now.items()), params.dims)
+        now |= {r.cluster_id: r.centroid for r in means(corpus.select("vector", at.alias("cluster_id")), params.dims).collect()}
+    return centroid_frame(corpus.sparkSession, now)
