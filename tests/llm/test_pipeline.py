@@ -1,10 +1,15 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pyspark.sql.types as T
 
 from __spark_entry__ import oracle_sql, queries
+from scorelake.llm import mixing
 from tests.llm.conftest import prose, table
+from tests.llm.test_bpe import REF
+from tests.llm.test_jaccard import brute
+from tests.llm.test_native import WORD, base, plain_dedup
 
 
 def test_stages_keep_columns_and_rules(spark, odd, empty):
@@ -27,6 +32,32 @@ def test_stages_keep_columns_and_rules(spark, odd, empty):
         assert stage(spark, empty, "").count() == 0
 
 
+def test_every_stage_against_plain_python(spark):
+    """Quality, dedup, duplicates and BPE exactly; the mix against its own plan, which is held against SQL elsewhere."""
+    rng = random.Random(5)
+    shared = "\n".join(prose(rng, 14) for _ in range(6))
+    texts = [f"{prose(rng, rng.randrange(10, 90))}\n{prose(rng, 9)}" for _ in range(25)]
+    texts += [f"{t}\n{shared}" for t in texts[:8]] + [" ".join(["loop"] * 60), texts[9] + " and more", texts[10]]
+    docs = table(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    (_, rules), (_, dedup), (_, near), (_, mix), (_, encode) = corpus_pipeline.STAGES
+    rows = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    kept = [(i, t) for i, t in enumerate(texts) for b in [base(t)] if b[0] >= 20 and 100 * b[4] <= 30 * b[0]]
+    one = rules(spark, docs, "").cache()
+    assert rows(one) == kept
+    left = [(i, new) for (i, old), (new, gone) in zip(kept, plain_dedup([t for _, t in kept]), strict=True) if not gone or WORD.search(new)]
+    two = dedup(spark, one, "").cache()
+    assert rows(two) == left and all(r.n_chars == len(r.text) for r in two.collect())
+    first = [x for x, (_, g) in zip(left, brute([t for _, t in left]), strict=True) if left[g] == x]
+    three = near(spark, two, "").cache()
+    assert rows(three) == first
+    times = Counter(r.doc_id for r in mixing.plan(three).collect())
+    four = mix(spark, three, "").cache()
+    assert Counter(r.doc_id for r in four.collect()) == times and set(rows(four)) <= set(first)
+    five = encode(spark, four, "").collect()
+    known = dict(first)
+    assert sorted((r.doc_id, r.n_tokens) for r in five) == sorted((i, len(REF.encode(known[i], add_special_tokens=False).ids)) for i in times.elements())
+
+
 def test_run_over_a_folder(spark, tmp_path):
     rng = random.Random(2)
     docs = table(spark, [prose(rng, 60) for _ in range(30)]).select("doc_id", "text", "lang", "source", "n_chars")
