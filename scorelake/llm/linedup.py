@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import WORD_CLASS, boxed, cut, let, unboxed
 
 KEY = ("doc_id", "_th")
+#: The place that stands for the whole of a row.
+WHOLE = -1
 
 
 def line_hash(line: Column) -> Column:
@@ -52,8 +54,19 @@ def chunks_of(text: Column, every: int, long_words: int) -> Column:
     return let(F.split(text, "\n", -1), of_lines)
 
 
-def removals(docs: DataFrame, every: int = 2, long_words: int = 50) -> DataFrame:
-    """(doc_id, _th, gone): the places of the chunks that each row loses."""
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, _th) of the rows whose whole text, of one word at least, is that of a row with a smaller doc_id."""
+    rows = docs.where(F.col("text").rlike(WORD_CLASS)).select("doc_id", F.xxhash64("text").alias("_th"), "text")
+    key = F.struct("doc_id")
+    # Written first, as in removals.
+    again = cut(rows.groupBy("_th").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a < b").select("_th"))
+    seen = cut(rows.join(again, "_th", "left_semi"))
+    first = cut(seen.groupBy("_th", "text").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last").drop("last"))
+    return seen.join(first, ["_th", "text"]).where(key > F.col("first")).select(*KEY)
+
+
+def removals(docs: DataFrame, every: int = 2, long_words: int = 50, whole: bool = False) -> DataFrame:
+    """(doc_id, _th, gone): the places of the chunks that each row loses; with ``whole``, WHOLE for exact copies."""
     chunks = F.transform(chunks_of(F.col("text"), every, long_words), lambda c, i: F.when(c["part"], F.struct(i.alias("place"), F.array_join(c["lines"], "\n").alias("chunk"))))
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("_th"), F.posexplode(F.filter(chunks, lambda c: c.isNotNull())).alias("_", "c"))
     rows = rows.select(*KEY, "c.place", "c.chunk", F.xxhash64("c.chunk").alias("h"))
@@ -61,16 +74,20 @@ def removals(docs: DataFrame, every: int = 2, long_words: int = 50) -> DataFrame
     seen = cut(rows.join(again, "h", "left_semi"))
     # Written first, so that the rows of a chunk with very many copies can be split in the join.
     first = cut(seen.groupBy("h", "chunk").agg(F.min(F.struct(*KEY, "place")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    later = seen.join(first, ["h", "chunk"]).where(F.struct(*KEY, "place") > F.col("first"))
+    later = seen.join(first, ["h", "chunk"]).where(F.struct(*KEY, "place") > F.col("first")).select(*KEY, "place")
+    if whole:
+        later = later.unionByName(copies(docs).select(*KEY, F.lit(WHOLE).alias("place")))
     return later.groupBy(*KEY).agg(F.collect_set("place").alias("gone"))
 
 
 OWN = ("doc_id", "text")
 
 
-def _deduped(docs: DataFrame, every: int, long_words: int) -> DataFrame:
-    gone = removals(docs.select(*OWN), every, long_words).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "gone")
+def _deduped(docs: DataFrame, every: int, long_words: int, whole: bool = False) -> DataFrame:
+    gone = removals(docs.select(*OWN), every, long_words, whole).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "gone")
     both = boxed(docs, *OWN).withColumn("_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left")
+    if whole:
+        both = both.where(F.col("gone").isNull() | ~F.array_contains("gone", WHOLE))
     left = let(chunks_of(F.col("text"), every, long_words), lambda c: F.filter(c, lambda x, i: ~F.array_contains("gone", i)))
     lost = F.struct(
         let(left, lambda c: F.struct(F.array_join(F.flatten(F.transform(c, lambda x: x["lines"])), "\n").alias("text"), F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["lines"])).alias("n"))).alias("d"),
@@ -91,6 +108,10 @@ def dedup(docs: DataFrame, every: int = 2, long_words: int = 50) -> DataFrame:
 
 
 def keep(docs: DataFrame, every: int = 2, long_words: int = 50) -> DataFrame:
-    """``docs`` without repeated chunks, with its columns; a row that has no word left after losing some goes."""
-    left = _deduped(docs, every, long_words).where((F.col("n_gone_chunks") == 0) | F.col("text").rlike(WORD_CLASS))
+    """``docs`` without repeated chunks, with its columns.
+
+    A row that has no word left after losing some goes, and so does an exact copy of a row with a smaller doc_id:
+    its single-line chunks, which don't take part, are no text of their own.
+    """
+    left = _deduped(docs, every, long_words, whole=True).where((F.col("n_gone_chunks") == 0) | F.col("text").rlike(WORD_CLASS))
     return unboxed(left, docs.columns, OWN)

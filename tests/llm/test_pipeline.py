@@ -58,6 +58,18 @@ def test_every_stage_against_plain_python(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in five) == sorted((i, len(REF.encode(known[i], add_special_tokens=False).ids)) for i in times.elements())
 
 
+def test_no_scrap_of_an_exact_copy_is_left(spark):
+    """Copies of texts of many lines, single-line chunks among them, and of one that has no other chunk."""
+    rng = random.Random(6)
+    texts = ["\n".join(prose(rng, rng.randrange(8, 20)) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    scraps = [new for new, gone in plain_dedup(texts + texts[:30])[40:] if gone and WORD.search(new)]
+    assert len(scraps) > 10  # what the chunks alone would leave
+    docs = table(spark, texts + texts[:30] + texts[:3]).unionByName(table(spark, texts[:2], 5000))
+    again = docs.unionByName(docs.where("doc_id in (7, 47)"))
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, again, "").collect())
+    assert got == sorted([*enumerate(texts), (7, texts[7])])
+
+
 def test_run_over_a_folder(spark, tmp_path):
     rng = random.Random(2)
     docs = table(spark, [prose(rng, 60) for _ in range(30)]).select("doc_id", "text", "lang", "source", "n_chars")
