@@ -1,15 +1,17 @@
 """HTML extraction by equivalence-class template deduction over the pages of a host.
 
-Every page becomes tokens: its container tags with their path, and the texts outside its article.  Tokens of one
+Every page becomes tokens: its container tags with their path, and its texts.  Tokens of one
 host that occur equally often on every page, that is with the same occurrence vector, form an equivalence class.
 A vector is kept as the page count and two sums of hashes of (page, count), which add up over any parts of the
 data, so no host's pages ever meet in one task.  A class is valid if it occurs on at least ``pages`` pages and on
 half of the host's; the classes nest by their paths, the class of ``body`` outermost, into the host's template.
 
 Extraction walks each page with its host's template.  What stands between template tokens are slots.  The main
-slots are those in the page's ``article`` or ``main``; on hosts without one, those in the valid container with
-the most slot text; failing that, the body.  Slots in menus, headers, footers, side bars, notices, adverts,
-forms, scripts, styles and comments go, and outside articles so do texts that belong to the template.
+slots are those in the valid container with the most slot text.  ``article`` and ``main`` are a hint: the slots in
+them are taken unless the main container has more slot text outside them on that page.  Failing both, it is the
+body.  Slots in menus, headers, footers, side bars,
+notices, adverts, forms, scripts, styles and comments go, and so do texts that belong to the template, wherever
+they stand.
 
 Each block's white space becomes one space; blocks are trimmed and joined by a line end.  Broken and cut-off
 mark-up is read as far as it goes.  Null and empty pages give the empty text.  Pages with a null or odd url
@@ -112,7 +114,10 @@ def blocks(html: str) -> Iterator[tuple[str, bool, bool, str]]:
 
 
 def _tokens(batches):
-    """(host, token, pages, v1, v2, chars, path): the occurrence vectors' parts over one run of pages."""
+    """(host, token, pages, v1, v2, chars, path, parent): the occurrence vectors' parts over one run of pages.
+
+    ``chars`` are those of the texts right in a container, or of a text itself, whose container is its ``parent``.
+    """
     import pyarrow as pa
 
     held: dict[tuple[str, int], list] = {}
@@ -120,27 +125,27 @@ def _tokens(batches):
     def flush():
         keys = list(held)
         cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
-        cols += [pa.array([held[k][j] for k in keys], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+        cols += [pa.array([held[k][j] for k in keys], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
         held.clear()
-        return pa.RecordBatch.from_arrays(cols, names=["host", "token", "pages", "v1", "v2", "chars", "path"])
+        return pa.RecordBatch.from_arrays(cols, names=["host", "token", "pages", "v1", "v2", "chars", "path", "parent"])
 
     for batch in batches:
         for n, url, html in zip(batch.column("page_id"), batch.column("url"), batch.column("html"), strict=True):
-            host, count, chars, paths = host_of(url.as_py()), Counter(), Counter(), {}
-            for path, skipped, article, text in blocks(html.as_py() or ""):
+            host, count, chars, paths, parents = host_of(url.as_py()), Counter(), Counter(), {}, {}
+            for path, skipped, _, text in blocks(html.as_py() or ""):
                 own = _hash(path)
                 if not text:
                     count[own] += 1
                     paths[own] = path if not skipped else "-"
                 elif not skipped:
+                    t = _hash(f"{path}\n{text}")
+                    count[t] += 1
                     chars[own] += len(text)
-                    if not article:
-                        t = _hash(f"{path}\n{text}")
-                        count[t] += 1
-                        paths[t] = None
+                    chars[t] += len(text)
+                    paths[t], parents[t] = None, own
             for t, k in count.items():
                 v = xxhash.xxh3_64_intdigest(f"{n.as_py()}:{k}")
-                row = held.setdefault((host, t), [0, 0, 0, 0, paths[t]])
+                row = held.setdefault((host, t), [0, 0, 0, 0, paths[t], parents.get(t)])
                 row[0] += 1
                 row[1] += v & 0xFFFFFFFF
                 row[2] += v >> 32
@@ -152,27 +157,31 @@ def _tokens(batches):
 
 
 def templates(pages: DataFrame, least: int = 3) -> DataFrame:
-    """(host, known, main): hashes of the texts in the host's template, and the path of its main container without article."""
-    rows = pages.select("page_id", "url", "html").mapInArrow(_tokens, "host string, token long, pages long, v1 long, v2 long, chars long, path string")
-    total = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.sum("chars").alias("chars"), F.max("path").alias("path")).where(F.col("pages") >= least)
+    """(host, known, main): hashes of the texts in the host's template, and the path of its main container."""
+    rows = pages.select("page_id", "url", "html").mapInArrow(_tokens, "host string, token long, pages long, v1 long, v2 long, chars long, path string, parent long")
+    total = rows.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"), F.sum("chars").alias("chars"), F.max("path").alias("path"), F.max("parent").alias("parent")).where(F.col("pages") >= least)
     classes = cut(total)
     body = classes.where(F.col("path").rlike(r"^(/html[^/]*)?/body[^/]*$")).groupBy("host").agg(F.max("pages").alias("all"))
     # A class is the tokens of a host with one vector; a lone text's class has no tag to hang it into the template.
     tags = classes.where("path is not null").select("host", "pages", "v1", "v2").distinct()
     valid = classes.join(body, "host").where(F.col("pages") * 2 >= F.col("all"))
-    texts = valid.where("path is null").join(tags, ["host", "pages", "v1", "v2"], "left_semi").groupBy("host").agg(F.collect_set("token").alias("known"))
-    best = valid.where((F.col("path") != "-") & (F.col("pages") == F.col("all"))).groupBy("host").agg(F.max_by("path", F.struct("chars", "path")).alias("main"))
+    fixed = valid.where("path is null").join(tags, ["host", "pages", "v1", "v2"], "left_semi")
+    texts = fixed.groupBy("host").agg(F.collect_set("token").alias("known"))
+    taken = fixed.groupBy("host", F.col("parent").alias("token")).agg(F.sum("chars").alias("fixed"))
+    boxes = valid.where((F.col("path") != "-") & (F.col("pages") == F.col("all"))).join(taken, ["host", "token"], "left")
+    slot = F.col("chars") - F.coalesce("fixed", F.lit(0))
+    best = boxes.groupBy("host").agg(F.max_by("path", F.struct(slot, "path")).alias("main"))
     return body.select("host").join(texts, "host", "left").join(best, "host", "left")
 
 
 def main_text(html: str, known: set[int], main: str | None) -> str:
     """The blocks in the main slots of one page."""
-    found = list(blocks(html))
-    if any(a and not s for _, s, a, t in found if t):
-        return "\n".join(t for _, s, a, t in found if t and a and not s)
-    kept = [(p, t) for p, s, _, t in found if t and not s and _hash(f"{p}\n{t}") not in known]
-    inside = [t for p, t in kept if main and (p == main or p.startswith(main + "/"))]
-    return "\n".join(inside or [t for _, t in kept])
+    kept = [(p, a, t) for p, s, a, t in blocks(html) if t and not s and _hash(f"{p}\n{t}") not in known]
+    inside = [(a, t) for p, a, t in kept if main and (p == main or p.startswith(main + "/"))]
+    article = [t for _, a, t in kept if a]
+    if sum(len(t) for a, t in inside if not a) > sum(map(len, article)):
+        return "\n".join(t for _, t in inside)
+    return "\n".join(article or [t for _, _, t in kept])
 
 
 def extract(pages: DataFrame, least: int = 3, salts: int = 64) -> DataFrame:

@@ -119,6 +119,24 @@ def test_templates_find_the_main_slots(spark):
     assert set(found) == {"a.example", "b.example"} and found["b.example"].main == "/html/body/div.text" and len(found["b.example"].known) == 3
 
 
+def test_templates_decide_on_pages_with_articles(spark):
+    """A notice inside every article, teaser cards that are articles beside the text, and a long text that all pages have."""
+    rng = random.Random(12)
+    fixed, rows, want = prose(rng, 90), [], []
+    for i in range(24):
+        text = [prose(rng, 25) for _ in range(3)]
+        body = "".join(f"<p>{b}</p>" for b in text)
+        page = (
+            f"<article><div class='box'>Rate this story now</div>{body}<p>All rights held</p></article>",
+            f"<div class='text'>{body}</div><article><p>{prose(rng, 4)}</p></article>",
+            f"<div class='about'>{fixed}</div><div class='text'>{body}</div>",
+        )[i % 3]
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<html><body><div class='top'>Top words</div>{page}</body></html>"))
+        want.append("\n".join(text))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert [got[i] for i in range(24)] == want
+
+
 def test_odd_pages(spark, monkeypatch):
     rows = [(1, None, None), (2, "http://[bad", "<p>x</p>"), (3, "http://h/", ""), (3, "http://h/", "<p>" + "long " * 100_000), (None, "http://h/", "<p>y</p>")]
     df = spark.createDataFrame([(*r, "h", [1], "m") for r in rows], "page_id long, url string, html string, host string, known array<int>, main string")
