@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from scorelake.operators import classify as why
 from scorelake.operators import evaluate, ivf, kmeans, knn, telemetry
 from scorelake.operators.decide import decide
 from scorelake.plans import tables as t
+from scorelake.shared import scratch
 from scorelake.sources.readers import corpus_rows, parse_requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,12 +281,6 @@ def log_summary(spark, sf):
     return telemetry.log_summary(telemetry.log_fields(t.log_lines(spark, sf)))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/checkpoints/scorelake"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @query
 def index_roundtrip(spark, sf):
     path = scratch(spark)
