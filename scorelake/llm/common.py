@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.shared import discard, scratch
 from scorelake.workers import ship
 
-__all__ = ["boxed", "code_points", "cut", "documents", "let", "partitions", "remainder", "shared_dir", "ship", "unboxed", "words"]
+__all__ = ["boxed", "code_points", "cut", "dealt", "documents", "hot_keys", "let", "partitions", "quoted", "remainder", "ship", "spread", "unboxed", "words"]
+
+#: A key is hot if it holds more than one in so many rows; its rows are then dealt over so many parts.
+HOT, SALTS = 1000, 64
 
 #: White space that separates words: the six ASCII characters of ``[\x20\x09-\x0D]``.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -17,38 +19,55 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends, nothing is computed twice.
 
-    Only where the session has no such setting (tests, a laptop) a local one is set.
+    The tables ``done``, made by earlier cuts, are removed after that.  What is left goes with the application.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else "file:/tmp/checkpoints/scorelake"
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends, nothing is computed twice."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in done:
+        discard(spark, old._cut_path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def boxed(df: DataFrame, *own: str) -> DataFrame:
     """The columns that an operator works on, and all others in one struct ``_rest``, where no name can clash."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in own]
+    rest = [F.col(quoted(c)) for c in df.columns if c.lower() not in own]
     return df.select(*own, (F.struct(*rest) if rest else F.lit(None)).alias("_rest"))
 
 
 def unboxed(df: DataFrame, columns: list[str], own: tuple[str, ...], **results: Column) -> DataFrame:
-    """The columns again in their order, then the results; a column named like a result gives way to it."""
-    back = [F.col(c) if c in own else F.col("_rest").getField(c).alias(c) for c in columns if c not in results]
+    """The columns again in their order, then the results; a column named like a result, in any case, gives way to it."""
+    back = [F.col(c.lower()).alias(c) if c.lower() in own else F.col("_rest").getField(c).alias(c) for c in columns if c.lower() not in results]
     return df.select(*back, *(v.alias(k) for k, v in results.items()))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> list:
+    """The keys that hold more than one in ``HOT`` of all rows; there can be ``HOT`` of them at most."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) * HOT > total).select(key).collect()]
+
+
+def dealt(rows: DataFrame, key: str, keys: list, *by: str) -> DataFrame:
+    """``rows`` with a ``_salt`` that deals those of a hot key over ``SALTS`` parts."""
+    return rows.withColumn("_salt", F.when(F.col(key).isin(keys), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+
+
+def spread(rows: DataFrame, key: str, keys: list) -> DataFrame:
+    """The other side, one row for each key: a hot key's row is there for every part."""
+    every, first = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")), F.array(F.lit(0).cast("long"))
+    return rows.withColumn("_salt", F.explode(F.when(F.col(key).isin(keys), every).otherwise(first)))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

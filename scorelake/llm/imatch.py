@@ -1,19 +1,20 @@
 """I-Match fingerprints over several randomised lexicon subsets.
 
-The terms of a text (runs without white space and punctuation, lower case) are hashed; those in the chosen band
-of inverse document frequency stay, sorted and distinct.  The band leaves out terms in more than ``most`` of all
-texts; their number is at most the mean number of terms divided by ``most``, however large the corpus, so the
-list is sent to every task.  Its rare end is open, which is every term the corpus has.
-
-The lexicon is dealt by hash into subsets, and the terms that a text has in each of the first ``CELLS`` subsets
-are hashed together: a small edit spares most subsets that it doesn't touch.  The number of subsets doubles with
-the text's terms, so that a subset has about one term of a short text and of a long one alike; a fingerprint
-carries two neighbouring levels, and two texts are compared on the levels both have.  Likeness is the share of
-equal hashes among the subsets in which either has a term.
-
-A text without terms in the band uses all its terms; one without any, its letters; the empty text has a
-fingerprint of its own.  Null texts are empty.  The next text is the next by (doc_id, hash of the text), equal
-rows counting once, and after the last the first; null ids come first.  Extra columns aren't read.
+The terms of a text are its runs of ASCII letters and digits and of all characters beyond ASCII, in lower case.  The lexicon is the terms in a closed band
+of document frequency, that is of inverse document frequency: in at least two texts and a share ``least`` of all,
+and in a share ``most`` at most.  It has at most the mean number of distinct terms divided by ``least`` terms,
+however large the corpus is.  A text keeps its distinct terms of the lexicon, sorted (by their md5).
+
+Lexicon subsets are drawn at random, and overlap: the whole lexicon, and for each of ``FAMILIES`` draws nested
+subsets of graded sizes (`SUBSETS`).  The terms that a text has in a subset are hashed together, all of them.  Any
+change among a text's kept terms changes the hash of the whole lexicon and of most large subsets; small ones miss
+an edit more often, so texts of any length find subsets that an edit spared.  The fingerprint is the list of
+these hashes; likeness is the share of equal ones among the subsets in which either text has a term.
+
+A text without a term of the lexicon keeps all its terms; one without any term is hashed whole; the empty
+text has a fingerprint of its own.  Null texts are empty.  The next text is the next by (doc_id, hash of the
+text), equal rows counting once, and after the last the first; null ids come first.  An empty table gives an empty
+table.  Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -22,110 +23,143 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from scorelake.llm.common import cut, let
+from scorelake.llm.common import cut, let, partitions
 
-CELLS = 32
-SPLIT = r"[\s\p{Punct}]+"
-#: Ids of so many values in a row are put in order together, then the first ones of so many, and so on.
-STEPS = (64, 4096, 262_144)
-#: The list of left-out terms has an upper bound (see above); more than this means that the bound was set too wide.
-MOST_LISTED = 200_000
+#: What an empty subset gives: the md5 of nothing.
+EMPTY = "d41d8cd9"
+#: Separators of terms: every ASCII character but letters and digits.
+SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+FAMILIES = 4
+#: A subset keeps the terms whose md5 has, at the family's three digits, less than this of 4096.
+LARGE, SMALL = (2048, 1024, 512), (256, 128, 64, 32, 16, 8)
+TOP = f"{SMALL[0]:03x}"
+#: (first digit, bound) of every subset but the whole lexicon: one family has large ones, all have small ones.
+SUBSETS = [(3 * f + 1, f"{size:03x}") for size in LARGE for f in (0,)] + [(3 * f + 1, f"{size:03x}") for f in range(FAMILIES) for size in SMALL]
+#: The lexicon has an upper bound (see above); more than this means that the band was set too wide.
+MOST_LISTED = 1_000_000
+#: Keys put in order by one task.
+IN_ORDER = 1 << 20
 
 
-def terms(text: Column) -> Column:
-    """The hashes of the distinct terms."""
-    return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), SPLIT), lambda t: t != ""), lambda t: F.xxhash64(t)))
+def distinct(text: str) -> str:
+    """The distinct terms of a text column, as SQL."""
+    return f"array_remove(array_distinct(split(lower({text}), r'{SPLIT}')), '')"
 
 
-def common_terms(docs: DataFrame, most: float, n: int | None = None) -> list[int]:
-    """The hashes of terms in more than ``most`` of the (n) texts, counted over all of them."""
-    n = docs.count() if n is None else n
-    seen = docs.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    got = [r.t for r in seen.where(F.col("df") > most * n).select("t").limit(MOST_LISTED + 1).collect()]
-    if len(got) > MOST_LISTED:
-        raise ValueError(f"more than {MOST_LISTED} terms are in more than {most:.3%} of the texts: choose a larger share")
-    return sorted(got)
-
-
-def fingerprint(text: Column, left_out: list[int]) -> Column:
-    """``level:hashes``: the subsets' hashes at the text's own level and at the next, in hexadecimal."""
-    inside = (lambda t: ~t.isin(left_out)) if left_out else (lambda t: t.isNotNull())
-
-    def hashes(kept: Column, level: Column) -> Column:
-        def at(m: Column) -> list[Column]:
-            cell = lambda j: let(F.filter(kept, lambda h: F.pmod(h, m) == j), lambda c: F.when(F.size(c) == 0, F.lit("0")).otherwise(F.lower(F.hex(F.xxhash64(c)))))
-            return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(CELLS - 1).cast("long")), cell)
-
-        m = F.call_function("shiftleft", F.lit(CELLS).cast("long"), level)
-        return F.concat_ws(":", level.cast("string"), F.array_join(F.concat(at(m), at(m * 2)), ","))
-
-    def of(band: Column) -> Column:
-        level = F.greatest(F.length(F.bin(F.size(band).cast("long"))) - 6, F.lit(0))  # 2**level <= terms / CELLS
-        within = lambda lv: F.sort_array(F.filter(band, lambda h: F.pmod(h, F.call_function("shiftleft", F.lit(CELLS).cast("long"), lv)) < CELLS))
-        return let(level, lambda lv: let(within(lv), lambda kept: hashes(kept, lv)))
+def terms(text: str) -> Column:
+    return F.expr(distinct(text))
 
-    def banded(all_: Column) -> Column:
-        return let(F.filter(all_, inside), lambda b: F.when(F.size(b) > 0, b).when(F.size(all_) > 0, all_).otherwise(F.array(F.xxhash64(text))))
 
-    return let(let(terms(text), banded), of)
+def lexicon(docs: DataFrame, least: float, most: float) -> Lexicon:
+    """The terms in the band, counted over all texts."""
+    n = docs.count()
+    seen = docs.select(F.explode(terms("text")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    band = seen.where((F.col("df") >= 2) & (F.col("df") >= least * n) & (F.col("df") <= most * n))
+    got = band.select("t", F.hash("t").alias("a"), F.hash("t", F.lit(1)).alias("b")).limit(MOST_LISTED + 1).collect()
+    if len(got) > MOST_LISTED:
+        raise ValueError(f"more than {MOST_LISTED} terms are in {least:.3%} to {most:.3%} of the texts: choose a narrower band")
+    return Lexicon(sorted((r.t, r.a, r.b) for r in got))
+
+
+class Lexicon:
+    """A set of terms as an expression: each stands in one of two cells of a table (cuckoo hashing)."""
+
+    def __init__(self, rows: list[tuple[str, int, int]]):
+        """``rows`` has each term with two hashes."""
+        self.terms = [t for t, _, _ in rows]
+        self.mask, cells = (1 << max(4, (2 * len(rows)).bit_length())) - 1, None
+        while cells is None:
+            self.mask = 2 * self.mask + 1
+            cells = self._filled(rows)
+        self.cells: list[str] = cells
+
+    def _filled(self, rows: list[tuple[str, int, int]]) -> list[str] | None:
+        cells: list[tuple[str, int, int] | None] = [None] * (self.mask + 1)
+        for row in rows:
+            at = row[1] & self.mask
+            for _ in range(500):
+                row, cells[at] = cells[at], row
+                if row is None:
+                    break
+                a, b = row[1] & self.mask, row[2] & self.mask
+                at = b if at == a else a
+            else:
+                return None
+        return [c[0] if c else "" for c in cells]
+
+    def table(self) -> str:
+        """The cells as an expression: one text that is split while the plan is made."""
+        return "split('" + ",".join(self.cells) + "', ',')"
+
+    def has(self, table: str, term: str) -> str:
+        return f"(get({table}, hash({term}) & {self.mask}) = {term} or get({table}, hash({term}, 1) & {self.mask}) = {term})"
+
+
+def fingerprint(text: str, known: Lexicon) -> Column:
+    """The hashes of the text column's terms in each subset, the whole lexicon's first, with commas.
+
+    Written as SQL text: it is long, and putting it together function by function takes seconds.
+    """
+    once = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    digest = lambda kept: f"substring(md5(array_join({kept}, '')), 1, 8)"
+    part = lambda within, at, bound: f"filter({within}, m -> substring(m, {at}, 3) < '{bound}')"
+    large = [digest(part("kept", at, bound)) for at, bound in SUBSETS if bound > TOP]
+    # A family's small subsets are nested, so they are read off its largest one.
+    small = [once(part("kept", at, TOP), "p", f"array({', '.join([digest('p'), *(digest(part('p', a, bound)) for a, bound in SUBSETS if a == at and bound < TOP)])})") for at, bound in SUBSETS if bound == TOP]
+    hashes = f"array_join(concat(array({', '.join([digest('kept'), *large])}), {', '.join(small)}), ',')"
+    inside = once(known.table(), "cells", f"filter(every, t -> {known.has('cells', 't')})") if known.terms else "slice(every, 1, 0)"
+    banded = once(inside, "b", f"case when size(b) > 0 then b when size(every) > 0 then every else array({text}) end")
+    return F.expr(once(f"sort_array(transform({once(distinct(text), 'every', banded)}, t -> md5(t)))", "kept", hashes))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints, 0 to 1."""
-    level = lambda f: F.substring_index(f, ":", 1).cast("int")
-    cells = lambda f: F.split(F.substring_index(f, ":", -1), ",")
-    low, high = (lambda c: F.slice(c, 1, CELLS)), (lambda c: F.slice(c, CELLS + 1, CELLS))
-
-    def share(x: Column, y: Column) -> Column:
-        count = lambda z: F.struct(F.size(F.filter(z, lambda p: (p["x"] == p["y"]) & (p["x"] != "0"))).alias("same"), F.size(F.filter(z, lambda p: (p["x"] != "0") | (p["y"] != "0"))).alias("any"))
-        return let(F.zip_with(x, y, lambda p, q: F.struct(p.alias("x"), q.alias("y"))), lambda z: let(count(z), lambda c: F.when(c["any"] > 0, c["same"] / c["any"]).otherwise(0.0)))
-
-    def by_level(ca: Column) -> Column:
-        return let(cells(b), lambda cb: F.when(level(a) == level(b), share(ca, cb)).when(level(a) == level(b) + 1, share(low(ca), high(cb))).when(level(b) == level(a) + 1, share(high(ca), low(cb))).otherwise(0.0))
-
-    return F.when(a == b, 1.0).otherwise(let(cells(a), by_level))
+    both = F.zip_with(F.split(a, ","), F.split(b, ","), lambda x, y: F.when((x == EMPTY) & (y == EMPTY), F.lit(None)).otherwise((x == y).cast("int")))
+    return F.when(a == b, 1.0).otherwise(let(F.filter(both, lambda x: x.isNotNull()), lambda z: F.size(F.filter(z, lambda x: x == 1)) / F.greatest(F.size(z), F.lit(1))))
 
 
-def following(keys: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
-    """``keys`` (a struct column ``k`` that starts with doc_id, distinct) with ``after``, the next in order; the last has null.
+def following(keys: DataFrame, at_once: int = IN_ORDER) -> DataFrame:
+    """``keys`` (a struct column ``k``, distinct) with ``after``, the next in order; the last has null.
 
-    Keys are ordered within runs of ids; only the first key of each run goes on to be ordered among runs.
+    Ranges of keys of about ``at_once`` are put in order each by one task, and the first key of each range
+    is what follows the last of the range before, whatever values the ids have.
     """
-    if not steps:
-        return keys.withColumn("after", F.lead("k").over(Window.orderBy("k")))
-    rows = keys.withColumn("_run", F.floor(F.col("k.doc_id") / F.lit(steps[0])))
-    heads = following(rows.groupBy("_run").agg(F.min("k").alias("k")).select("k"), steps[1:])
-    heads = heads.select(F.floor(F.col("k.doc_id") / F.lit(steps[0])).alias("_head"), F.col("after").alias("_next"))
-    inner = rows.withColumn("after", F.lead("k").over(Window.partitionBy("_run").orderBy("k")))
-    return inner.join(heads, F.col("_run").eqNullSafe(F.col("_head")), "left").select("k", F.coalesce("after", "_next").alias("after"))
+    n = max(1, -(-keys.count() // at_once), min(partitions(keys.sparkSession), keys.count()))
+    ranged = cut(keys.select("k").repartitionByRange(n, "k").select("k", F.spark_partition_id().alias("_part")))
+    heads = ranged.groupBy("_part").agg(F.min("k").alias("k"))  # one row for each range
+    heads = heads.select("_part", F.lead("k").over(Window.orderBy("_part")).alias("_next"))
+    inner = ranged.withColumn("after", F.lead("k").over(Window.partitionBy("_part").orderBy("k")))
+    return inner.join(F.broadcast(heads), "_part").select("k", F.coalesce("after", "_next").alias("after"))
 
 
-def fingerprints(docs: DataFrame, most: float = 0.02) -> DataFrame:
+def fingerprints(docs: DataFrame, least: float = 0.001, most: float = 0.05) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter replaced by as much of the next text.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n_docs = docs.count()
-    left_out = common_terms(docs, most, n_docs)
+    known = lexicon(docs, least, most)
     keyed = docs.withColumn("_th", F.xxhash64("text"))
-    keys = cut(keyed.groupBy("doc_id", "_th").agg(F.max(F.length("text")).alias("n")).select(F.struct("doc_id", "_th").alias("k"), "n"))
-    first = keys.agg(F.min("k").alias("k")).first()
+    prints = cut(keyed.select("doc_id", "_th", F.length("text").alias("n"), fingerprint("text", known).alias("fingerprint")))
+    keys = cut(prints.groupBy(F.struct("doc_id", "_th").alias("k")).agg(F.max("n").alias("n"), F.max("fingerprint").alias("fingerprint"), F.count("*").alias("rows")), prints)
+    first = keys.agg(F.min("k").alias("k"), F.max("rows").alias("rows")).first()
     if first.k is None:
         after = keys.select("k", F.col("k").alias("after"))
     else:
         wrap = F.struct(F.lit(first.k.doc_id).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(first.k._th).alias("_th"))
-        after = following(keys.select("k")).select("k", F.coalesce("after", wrap).alias("after"))
-    after = after.join(keys, "k").select(F.col("after.doc_id").alias("_id"), F.col("after._th").alias("_h"), F.col("k").alias("_for"), F.floor(F.col("n") / 4).cast("int").alias("_take"))
+        after = following(keys).select("k", F.coalesce("after", wrap).alias("after"))
+    after = cut(after.join(keys.select("k", "n", "fingerprint"), "k"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h"))
 
-    texts = keyed.select("*", F.explode(F.array(fingerprint(F.col("text"), left_out))).alias("fingerprint"))
-    heads = texts.join(cut(after), same).select(F.col("_for.doc_id").alias("_id"), F.col("_for._th").alias("_h"), F.substring(F.col("text"), F.lit(1), F.col("_take")).alias("_head"), F.col("fingerprint").alias("_next"))
-    if keys.count() < n_docs:  # equal rows would each bring the same head
-        heads = heads.dropDuplicates(["_id", "_h"])
-    both = texts.join(heads, same, "left")
+    wanted = after.select(F.col("after.doc_id").alias("_id"), F.col("after._th").alias("_h"), F.col("k").alias("_for"), F.floor(F.col("n") / 4).cast("int").alias("_take"))
+    heads = keyed.join(wanted, same).select(F.col("_for.doc_id").alias("_id"), F.col("_for._th").alias("_h"), F.substring(F.col("text"), F.lit(1), F.col("_take")).alias("_head"))
+    if (first.rows or 0) > 1:  # equal rows would each bring the same head
+        heads = heads.groupBy("_id", "_h").agg(F.first("_head").alias("_head"))
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.coalesce("_head", F.lit("")))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), F.explode(F.array(edited)).alias("_edited"), "fingerprint", "_next")
-    both = both.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", F.explode(F.array(fingerprint(F.col("_edited"), left_out))).alias("edited_fingerprint"), "_next")
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.coalesce("_next", "fingerprint")).alias("near_next"))
+    made = keyed.join(heads, same, "left").select(F.struct("doc_id", "_th").alias("k"), n.cast("long").alias("n_chars"), F.explode(F.array(edited)).alias("_edited"))
+    made = cut(made.select("k", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), fingerprint("_edited", known).alias("edited_fingerprint")))
+    small = after.select("k", "fingerprint", "after").join(keys.select(F.col("k").alias("after"), F.col("fingerprint").alias("_next")), "after").drop("after")
+    both = made.join(small, "k")
+    near = lambda other: likeness(F.col("fingerprint"), F.col(other))
+    return both.select("k.doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("_next").alias("near_next"))

@@ -67,26 +67,50 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINE_DEDUP_SQL = r"""
 WITH line AS (
-  SELECT doc_id, text, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-  FROM documents WHERE text IS NOT NULL),
-hashed AS (
-  SELECT doc_id, i, line, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM line),
-stop AS (
-  SELECT *, w >= 50 OR coalesce(lead(w) OVER d >= 50, false) OR (h + 3 * coalesce(lag(h) OVER d, 0)) % 2 = 0 AS ends
-  FROM hashed WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-placed AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM stop),
-chunk AS (
-  SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, sum((w > 0)::INT) >= 2 OR max(w) >= 50 AS part, count(*) AS n FROM placed GROUP BY ALL),
-judged AS (
-  SELECT *, part AND row_number() OVER (PARTITION BY chunk, part ORDER BY doc_id, place) > 1 AS gone FROM chunk),
+  SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+own AS (
+  SELECT doc_id, i, line, row_number() OVER d AS k, lead(line) OVER d AS after
+  FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+piece AS (
+  SELECT doc_id, k, 2 AS n, line || chr(10) || after AS chunk FROM own WHERE after IS NOT NULL
+  UNION ALL SELECT doc_id, k, 1, line FROM own WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
+later AS (SELECT doc_id, k, n FROM (SELECT *, row_number() OVER (PARTITION BY n, chunk ORDER BY doc_id, k) AS r FROM piece) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, k + j AS k FROM later, range(0, 2) r(j) WHERE j < n),
+runs AS (SELECT doc_id, count(*) AS n FROM (SELECT *, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone) WHERE before IS NULL OR before < k - 1 GROUP BY doc_id),
+owned AS (SELECT l.*, max(o.k) OVER (PARTITION BY l.doc_id ORDER BY l.i) AS k FROM line l LEFT JOIN own o USING (doc_id, i)),
+marked AS (SELECT o.*, g.k IS NOT NULL AS gone FROM owned o LEFT JOIN gone g ON g.doc_id = o.doc_id AND g.k = o.k),
 kept AS (
-  SELECT doc_id, string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone) AS text, sum(n) AS n_lines,
-    coalesce(sum(n) FILTER (WHERE gone), 0) AS n_gone_lines, count(*) FILTER (WHERE gone) AS n_gone_chunks
-  FROM judged GROUP BY doc_id)
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone_lines FROM marked GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
-  coalesce(n_gone_lines, 0)::BIGINT AS n_gone_lines, coalesce(n_gone_chunks, 0)::BIGINT AS n_gone_chunks
-FROM documents d LEFT JOIN kept k USING (doc_id)
+  coalesce(n_gone_lines, 0)::BIGINT AS n_gone_lines, coalesce(r.n, 0)::BIGINT AS n_gone_chunks
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN runs r USING (doc_id)
+"""
+
+SUBSETS_SQL = ", ".join(f"{{'a': {at}, 'b': '{bound}'}}" for at, bound in imatch.SUBSETS)
+IMATCH_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(text) OVER o, CASE WHEN lead(doc_id) OVER o IS NULL THEN first_value(text) OVER o END, '') AS following,
+    coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id FROM documents WINDOW o AS (ORDER BY doc_id)),
+texts AS (
+  SELECT doc_id, 0 AS v, t FROM d UNION ALL SELECT doc_id, 1, substr(t, 1, length(t) - length(t) // 4) || substr(following, 1, length(t) // 4) FROM d),
+term AS (SELECT doc_id, v, UNNEST(list_distinct(regexp_extract_all(lower(t), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM texts),
+lex AS (
+  SELECT term FROM term WHERE v = 0 GROUP BY term
+  HAVING count(*) >= 2 AND count(*) >= 0.001::DOUBLE * (SELECT count(*) FROM documents) AND count(*) <= 0.05::DOUBLE * (SELECT count(*) FROM documents)),
+sorted AS (
+  SELECT doc_id, v, list(md5(term) ORDER BY md5(term)) AS every, list(md5(term) ORDER BY md5(term)) FILTER (WHERE l.term IS NOT NULL) AS inside
+  FROM term LEFT JOIN lex l USING (term) GROUP BY doc_id, v),
+kept AS (SELECT b.doc_id, b.v, b.t, coalesce(inside, every, [md5(b.t)]) AS kept FROM texts b LEFT JOIN sorted USING (doc_id, v)),
+subset AS (SELECT *, list_prepend(kept, list_transform([{SUBSETS_SQL}], lambda s: list_filter(kept, lambda m: substr(m, s.a, 3) < s.b))) AS parts FROM kept),
+print AS (SELECT doc_id, v, t, list_transform(parts, lambda p: substr(md5(array_to_string(p, '')), 1, 8)) AS p FROM subset),
+pair AS (
+  SELECT d.doc_id, a.t, b.t AS edited, a.p AS pa, b.p AS pb, n.p AS pn
+  FROM d JOIN print a ON a.doc_id = d.doc_id AND a.v = 0 JOIN print b ON b.doc_id = d.doc_id AND b.v = 1 JOIN print n ON n.doc_id = d.next_id AND n.v = 0),
+seen AS (
+  SELECT *, list_transform([pb, pn], lambda q: list_filter(list_transform(range(1, len(pa) + 1), lambda i: CASE WHEN pa[i] = 'd41d8cd9' AND q[i] = 'd41d8cd9' THEN NULL ELSE (pa[i] = q[i])::INTEGER END), lambda x: x IS NOT NULL)) AS z FROM pair)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(pa, ',') AS fingerprint, array_to_string(pb, ',') AS edited_fingerprint,
+  CASE WHEN pa = pb THEN 1.0::DOUBLE ELSE list_sum(z[1])::DOUBLE / len(z[1]) END AS near_edited, CASE WHEN pa = pn THEN 1.0::DOUBLE ELSE list_sum(z[2])::DOUBLE / len(z[2]) END AS near_next
+FROM seen
 """
 
 MIXING_SQL = r"""
@@ -188,6 +212,7 @@ FROM rates JOIN verdict USING (doc_id)
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": NGRAM_JACCARD_SQL,
     "op3_quality_rules": QUALITY_SQL,
+    "op7_imatch": IMATCH_SQL,
     "op9_mixing": MIXING_SQL,
     "op10_line_dedup": LINE_DEDUP_SQL,
 }
