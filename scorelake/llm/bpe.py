@@ -3,8 +3,10 @@
 A merge list fixes, for every prefix of a byte string, one last token: the prefix's encoding is the
 encoding of a shorter prefix followed by that token.  The transducer keeps the last tokens of the
 positions that a later byte can still reach, and emits a token as soon as every one of them agrees on
-it.  ``Merges.lookahead`` is the sufficient lookahead of the merge list, computed from the rules alone,
-and with the longest token bounds what is kept: memory doesn't grow with the text.
+it.  ``Merges.lookahead`` is the sufficient lookahead of the merge list, computed from the rules alone.  It says how
+much is read between two looks for stable tokens, and with the longest token bounds what is kept: memory doesn't
+grow with the text.  That all reachable positions agree is what makes a token stable, mostly sooner than the
+lookahead.
 
 Two neighbouring tokens can stand side by side in an encoding iff no rule crosses their border at any
 time while the two were being built (`Merges.side_by_side`); that local test is all the transducer needs.
@@ -12,8 +14,9 @@ time while the two were being built (`Merges.side_by_side`); that local test is
 Decoding maps ids to bytes and feeds them to an incremental byte-to-text state machine that replaces
 malformed sequences.
 
-Null and empty texts give no tokens and the empty text.  Extra columns are carried along; one named like a
-result gives way to it.
+Null and empty texts give no tokens and the empty text, an empty table an empty table; equal rows give equal
+results.  Extra columns are carried along; one named like a result, in any case, gives way to it.  Vocabularies with settings
+beyond byte-level BPE (a normalizer, another pre-tokenizer, unknown tokens, word ends) are refused.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import ship
+from scorelake.llm.common import quoted, ship
 
 #: The pre-tokenizer's pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,7 +104,7 @@ class Merges:
                 until_right, y = min(until_right, my), parts[y][0]
 
     def side_by_side(self, x: int, y: int) -> bool:
-        key = x << 20 | y
+        key = x << 32 | y
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= REMEMBERED:
@@ -131,11 +134,21 @@ class Merges:
     def from_file(cls, path: str) -> Merges:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocab = {s: i for s, i in spec["model"]["vocab"].items() if s not in special}
         return cls(vocab, spec["model"]["merges"], special)
 
 
+def _check(spec: dict) -> None:
+    """Refuses what the transducer doesn't follow."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [k for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or odd:
+        raise ValueError(f"only plain byte-level BPE is supported: {odd or [model.get('type'), spec.get('normalizer'), before]}")
+
+
 @lru_cache(maxsize=2)
 def merges_at(path: str) -> Merges:
     """One table for each Python worker, read from the file given by path on the worker's own machine."""
@@ -200,7 +213,7 @@ class Transducer:
                 if t is not None:
                     if not s:
                         break
-                    ok = pairs.get(last[s] << 20 | t)
+                    ok = pairs.get(last[s] << 32 | t)
                     if m.side_by_side(last[s], t) if ok is None else ok:
                         break
             else:
@@ -242,6 +255,7 @@ class Encoder:
         self.transducer = Transducer(merges)
         self.cut = regex.compile(PIECES)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
+        self.starts = {t[0] for t in merges.special if t}
         self.known: dict[str, bytes] = {}
 
     def _piece(self, b: bytes) -> bytes:
@@ -277,7 +291,7 @@ class Encoder:
 
     def _cut(self, text: str) -> list:
         """A special token's id, a list of pieces, or a long part as it is."""
-        parts = self.special.split(text) if self.special and "<" in text and self.special.search(text) else (text,)
+        parts = self.special.split(text) if any(c in text for c in self.starts) and self.special.search(text) else (text,)
         return [self.m.special[p] if p in self.m.special else self.cut.findall(p) if len(p) <= AT_ONCE else p for p in parts]
 
     def _blocks(self, parts: list) -> Iterator[bytes]:
@@ -360,8 +374,9 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     import pyarrow as pa
 
     ship(df.sparkSession)
-    kept = [c for c in df.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
-    out = df.select(*kept, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    kept = [c for c in df.columns if c.lower() not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
+    df = df.select(*map(quoted, kept), text)
+    out = df.select(*map(quoted, kept), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
 
     def run(batches):
         merges = merges_at(path)
@@ -381,4 +396,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             cols = [batch.column(c) for c in kept] + [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(*kept, text).mapInArrow(run, out)
+    return df.mapInArrow(run, out)

@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.select(F.explode(F.array(pair(F.col("u"), F.col("v")), pair(F.col("v"), F.col("u")))).alias("e")).select("e.*")
         # Written first, so that the rows of a node with very many edges can be split in the join.
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least)
         least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = cut(small.where("u <> v").distinct())
+        now = cut(small.where("u <> v").distinct(), now, large, least)

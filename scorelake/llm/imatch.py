@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelake.llm.common import cut, let, partitions
+from scorelake.llm.lexicon import Lexicon, once
 
 #: What an empty subset gives: the md5 of nothing.
 EMPTY = "d41d8cd9"
@@ -35,8 +36,8 @@ LARGE, SMALL = (2048, 1024, 512), (256, 128, 64, 32, 16, 8)
 TOP = f"{SMALL[0]:03x}"
 #: (first digit, bound) of every subset but the whole lexicon: one family has large ones, all have small ones.
 SUBSETS = [(3 * f + 1, f"{size:03x}") for size in LARGE for f in (0,)] + [(3 * f + 1, f"{size:03x}") for f in range(FAMILIES) for size in SMALL]
-#: The lexicon has an upper bound (see above); more than this means that the band was set too wide.
-MOST_LISTED = 1_000_000
+#: The lexicon has an upper bound (see above); more than this raises, as the band was set too wide.
+MOST_LISTED = 500_000
 #: Keys put in order by one task.
 IN_ORDER = 1 << 20
 
@@ -55,44 +56,7 @@ def lexicon(docs: DataFrame, least: float, most: float) -> Lexicon:
     n = docs.count()
     seen = docs.select(F.explode(terms("text")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     band = seen.where((F.col("df") >= 2) & (F.col("df") >= least * n) & (F.col("df") <= most * n))
-    got = band.select("t", F.hash("t").alias("a"), F.hash("t", F.lit(1)).alias("b")).limit(MOST_LISTED + 1).collect()
-    if len(got) > MOST_LISTED:
-        raise ValueError(f"more than {MOST_LISTED} terms are in {least:.3%} to {most:.3%} of the texts: choose a narrower band")
-    return Lexicon(sorted((r.t, r.a, r.b) for r in got))
-
-
-class Lexicon:
-    """A set of terms as an expression: each stands in one of two cells of a table (cuckoo hashing)."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        """``rows`` has each term with two hashes."""
-        self.terms = [t for t, _, _ in rows]
-        self.mask, cells = (1 << max(4, (2 * len(rows)).bit_length())) - 1, None
-        while cells is None:
-            self.mask = 2 * self.mask + 1
-            cells = self._filled(rows)
-        self.cells: list[str] = cells
-
-    def _filled(self, rows: list[tuple[str, int, int]]) -> list[str] | None:
-        cells: list[tuple[str, int, int] | None] = [None] * (self.mask + 1)
-        for row in rows:
-            at = row[1] & self.mask
-            for _ in range(500):
-                row, cells[at] = cells[at], row
-                if row is None:
-                    break
-                a, b = row[1] & self.mask, row[2] & self.mask
-                at = b if at == a else a
-            else:
-                return None
-        return [c[0] if c else "" for c in cells]
-
-    def table(self) -> str:
-        """The cells as an expression: one text that is split while the plan is made."""
-        return "split('" + ",".join(self.cells) + "', ',')"
-
-    def has(self, table: str, term: str) -> str:
-        return f"(get({table}, hash({term}) & {self.mask}) = {term} or get({table}, hash({term}, 1) & {self.mask}) = {term})"
+    return Lexicon.of(band, MOST_LISTED)
 
 
 def fingerprint(text: str, known: Lexicon) -> Column:
@@ -100,7 +64,6 @@ def fingerprint(text: str, known: Lexicon) -> Column:
 
     Written as SQL text: it is long, and putting it together function by function takes seconds.
     """
-    once = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
     digest = lambda kept: f"substring(md5(array_join({kept}, '')), 1, 8)"
     part = lambda within, at, bound: f"filter({within}, m -> substring(m, {at}, 3) < '{bound}')"
     large = [digest(part("kept", at, bound)) for at, bound in SUBSETS if bound > TOP]

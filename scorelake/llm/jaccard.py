@@ -2,21 +2,29 @@
 
 Texts become sets of word shingles; equal sets are one class, and only classes go on.
 
-1. One pass over the texts hashes the shingles and deals them out, packed, by shingle.  Each part counts in
-   how many classes a shingle occurs.  Shingles of a single class cannot be shared: they come first in every
-   token order, so a class with too many of them has no partner and leaves (this is the prefix filter).
-2. The others get their prefixes under three global token orders: rarest first, coarse frequency first, and a
+1. A first pass over the texts counts shingles and finds those that more than one set in ``RARE`` has; there are at
+   most the mean size of a set times ``RARE`` of them.  They count as shared without being counted together, so
+   that no task gets all the sets with a common line.
+2. A second pass hashes the shingles and deals them out, packed, by shingle, in as many parts as their number asks
+   for.  Each part counts in how many classes a shingle occurs.  Shingles of a single class cannot be shared: they
+   come first in every token order, so a class with too many of them has no partner and leaves (this is the prefix
+   filter).
+3. The others get their prefixes under three global token orders: rarest first, coarse frequency first, and a
    plain random order behind the single ones.  Two sets that reach the threshold share a prefix token under
    each of the three.
-3. Star links first: in every group with the same least token under a random order the members are compared
+4. Star links first: under six more random orders, the members of every group with the same first token are compared
    with one central member only, which is linear however large a group of near copies is.
-4. What these links leave apart is joined on the tokens of the first order, but only between different
-   components and where enough shared tokens follow the common one in both sets; the pairs must also share
-   prefix tokens under the other two orders before they are verified.
-
-Verification counts the shared shingles exactly.  Nothing is capped; results aren't sampled.  Nulls: a null
+5. What these links leave apart is joined on the tokens of the first order, but only between different
+   components and where enough shared tokens follow the common one in both sets.  A group of more than
+   ``MOST_TOGETHER`` sets under a token isn't paired but split by the prefix tokens of the second order, and
+   groups that are still larger by those of the third.
+
+All candidates must share prefix tokens under all three orders; only pairs that do meet their whole sets, and
+verification counts the shared shingles exactly.  Nothing is capped; results aren't sampled.  Shingles and sets are
+compared by 64-bit hashes: of 1e9 different texts two are taken for equal with a chance of 3 %.  Nulls: a null
 text is empty; an empty set links with nothing and its component is its own id; a null doc_id gives a null
-component unless its class is linked to another.  Repeated rows are kept.
+component unless its class is linked to another.  Repeated rows are kept.  An empty table gives an empty table.
+Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -32,10 +40,14 @@ from scorelake.llm.common import cut, partitions, ship
 from scorelake.llm.components import components
 from scorelake.llm.shingles import U, mix, shingle_sets
 
-DOC, CLASS, TOKENS = 0, 1, 2
+DOC, CLASS, TOKENS, HEAVY = 0, 1, 2, 3
 NO_ID = np.iinfo(np.int64).max
 #: Shingles that a map task gathers before it deals them out.
 FLUSH = 1 << 21
+#: A shingle is heavy if more than one set in so many has it, and if enough have it at all.
+RARE, ENOUGH = 500, 64
+#: Shingles counted in one part, and sets under one token that are compared with each other.
+IN_PART, MOST_TOGETHER = 1 << 22, 200
 SEEDS = [U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0)]
 STARS = [U(0x082EFA98EC4E6C89), U(0x452821E638D01377), U(0xBE5466CF34E90C6C), U(0xC0AC29B7C97C50DD), U(0x3F84D5B5B5470917), U(0x9216D5D98979FB1B)]
 PACKED = "kind int, part int, blob binary"
@@ -71,10 +83,59 @@ def _packed_lists(part: np.ndarray, parts: int, owner: np.ndarray, values: tuple
             yield p, own[head], np.diff(np.append(head, b - a)).astype(np.uint32), [v[a:b] for v in values]
 
 
-def _deal(parts: int, k: int):
+def _weigh(k: int):
+    """(token, n, sets): shingles that are frequent in a run of different sets, and one row with its totals."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        sets, gathered = [], 0
+
+        def flush():
+            nonlocal sets, gathered
+            tok, n = np.unique(np.concatenate(sets), return_counts=True)
+            often = n >= max(4, len(sets) // RARE)
+            tok, n = tok[often].view(np.int64), n[often]
+            out = [pa.array([None, *tok.tolist()], pa.int64()), pa.array([gathered, *n.tolist()], pa.int64()), pa.array([len(sets), *[0] * len(tok)], pa.int64())]
+            sets, gathered = [], 0
+            return pa.RecordBatch.from_arrays(out, names=["token", "n", "sets"])
+
+        for batch in batches:
+            for s in shingle_sets((x.as_py() for x in batch.column("text")), k):
+                if len(s) and (c := _class_of(s)) not in seen:
+                    seen.add(c)
+                    sets.append(s)
+                    gathered += len(s)
+                if gathered >= FLUSH:
+                    yield flush()
+        if sets:
+            yield flush()
+
+    return run
+
+
+def heavy_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The heavy shingles, ascending, a code of their frequency, and the number of all shingles."""
+    seen = cut(docs.mapInArrow(_weigh(k), "token long, n long, sets long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("sets").alias("sets")))
+    total = seen.where("token is null").first()
+    if total is None:
+        return np.empty(0, U), np.empty(0, np.uint8), 0
+    found = seen.where((F.col("token").isNotNull()) & (F.col("n") >= ENOUGH) & (F.col("n") * RARE > F.lit(total.sets))).select("token", "n").toPandas()
+    tok, n = found["token"].to_numpy(np.int64).view(U), found["n"].to_numpy(np.int64)
+    order = np.argsort(tok)
+    return tok[order], _code(n[order]), total.n
+
+
+def _code(n: np.ndarray) -> np.ndarray:
+    return np.minimum(255, 4 * np.log2(n)).astype(np.uint8)
+
+
+def _deal(parts: int, k: int, heavy):
     def run(batches):
         import pyarrow as pa
 
+        heavies, codes = heavy.value
         seen: set[int] = set()
         rows: list[tuple[int, int, bytes]] = []
         ids, sizes, classes, sets, gathered = [], [], [], [], 0
@@ -93,6 +154,12 @@ def _deal(parts: int, k: int):
             if sets:
                 tok = np.concatenate([s for _, s in sets])
                 owner = np.repeat(np.array([c for c, _ in sets], U), [len(s) for _, s in sets])
+                if len(heavies):
+                    at = np.minimum(np.searchsorted(heavies, tok), len(heavies) - 1)
+                    own = heavies[at] == tok
+                    for q, o, count, (t, d) in _packed_lists((owner[own] % U(parts)).astype(np.int64), parts, owner[own], (tok[own], codes[at[own]])):
+                        rows.append((HEAVY, q, _pack(o, count, t, d)))
+                    tok, owner = tok[~own], owner[~own]
                 for q, own, count, (t,) in _packed_lists(((tok >> U(40)) % U(parts)).astype(np.int64), parts, owner, (tok,)):
                     rows.append((TOKENS, q, _pack(own, count, t)))
             ids, sizes, classes, sets, gathered = [], [], [], [], 0
@@ -143,10 +210,10 @@ def _gather_classes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _count(parts: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         own = int(pdf["part"].iloc[0])
-        blobs = {k: [b for x, b in zip(pdf["kind"], pdf["blob"], strict=True) if x == k] for k in (DOC, CLASS, TOKENS)}
+        blobs = {k: [b for x, b in zip(pdf["kind"], pdf["blob"], strict=True) if x == k] for k in (DOC, CLASS, TOKENS, HEAVY)}
         del pdf
         docs = tuple(np.concatenate(x) for x in zip(*(_unpack(b, np.int64, np.int64, U) for b in blobs[DOC]), strict=True)) if blobs[DOC] else None
-        rows = []
+        rows = [(HEAVY, own, b) for b in blobs[HEAVY]]
         if blobs[CLASS]:
             rows.append((CLASS, own, _pack(*_gather_classes(blobs[CLASS]))))
         if blobs[TOKENS]:
@@ -166,7 +233,7 @@ def _count(parts: int):
             if len(tok):
                 head = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
                 df = np.diff(np.append(head, len(tok)))
-                code = np.repeat(np.minimum(255, 4 * np.log2(df)).astype(np.uint8), df)
+                code = np.repeat(_code(df), df)
                 shared = np.repeat(df >= 2, df)
                 tok, owner, code = tok[shared], owner[shared], code[shared]
                 order = np.argsort(owner, kind="stable")
@@ -181,7 +248,7 @@ def _count(parts: int):
 def _prefixes(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         one, size, low = _gather_classes([b for x, b in zip(pdf["kind"], pdf["blob"], strict=True) if x == CLASS])
-        got = [_unpack(b, U, np.uint32, U, np.uint8) for x, b in zip(pdf["kind"], pdf["blob"], strict=True) if x == TOKENS]
+        got = [_unpack(b, U, np.uint32, U, np.uint8) for x, b in zip(pdf["kind"], pdf["blob"], strict=True) if x in (TOKENS, HEAVY)]
         del pdf
         lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         if got:
@@ -189,6 +256,9 @@ def _prefixes(percent: int):
             tok, code = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
             order = np.lexsort((tok, owner))
             owner, tok, code = owner[order], tok[order], code[order]
+            new = np.ones(len(tok), bool)  # a heavy shingle comes from each map task that saw the class
+            new[1:] = (tok[1:] != tok[:-1]) | (owner[1:] != owner[:-1])
+            owner, tok, code = owner[new], tok[new], code[new]
             head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             for a, b in zip(head, np.append(head[1:], len(owner)), strict=True):
                 lists[int(owner[a])] = (tok[a:b], code[a:b])
@@ -210,17 +280,40 @@ def _prefixes(percent: int):
     return run
 
 
+ORDERS = ("first", "second", "third")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) that share prefix tokens under every order and reach the threshold."""
-    side = lambda s: sets.select(*(F.col(c).alias(f"{c}_{s}") for c in ("n", "tokens", "first", "second", "third")), F.col("cls").alias(s))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    side = lambda s, *columns: sets.select(*(F.col(c).alias(f"{c}_{s}") for c in columns), F.col("cls").alias(s))
+    both = pairs.join(side("x", "n", *ORDERS), "x").join(side("y", "n", *ORDERS), "y")
     both = both.where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    for order in ("first", "second", "third"):
+    for order in ORDERS:
         both = both.where(F.arrays_overlap(f"{order}_x", f"{order}_y"))
+    left = cut(both.select("x", "y"))
+    both = left.join(side("x", "n", "tokens"), "x").join(side("y", "n", "tokens"), "y")
     shared = F.size(F.array_intersect("tokens_x", "tokens_y"))
     return both.where(100 * shared >= percent * (F.col("n_x") + F.col("n_y") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
+def _apart(rows: DataFrame, sets: DataFrame, percent: int, orders: tuple[str, ...] = ORDERS[1:]) -> DataFrame:
+    """The pairs of sets of different components under one key, of ``rows`` (cls, n, comp, key, rest); large groups are split further first."""
+    rows = cut(rows)
+    groups = cut(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members"))
+    large = F.col("members") > MOST_TOGETHER
+    split = bool(orders) and groups.where(large).limit(1).count() > 0
+    left = cut(rows.join(groups.where(~large) if split else groups, "key"))
+    x, y = (left.select("key", F.col("cls").alias(s), F.col("n").alias(f"size_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("rest").alias(f"rest_{s}")) for s in ("x", "y"))
+    # The first token that two sets share in the first order has all the others behind it, in either set.
+    reach = f"{100 + percent} * least(rest_x, rest_y) >= {percent} * (size_x + size_y)"
+    pairs = x.join(y, "key").where(f"comp_x < comp_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) and {reach}").select("x", "y")
+    if split:
+        finer = rows.join(groups.where(large).select("key"), "key").join(sets.select("cls", F.col(orders[0]).alias("more")), "cls")
+        finer = finer.select("cls", "n", "comp", "key", "rest", F.explode("more").alias("token")).withColumn("key", F.xxhash64("key", "token")).drop("token")
+        pairs = pairs.unionByName(_apart(finer, sets, percent, orders[1:]))
+    return pairs.distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -228,8 +321,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = partitions(spark)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_deal(parts, words), PACKED)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    tokens, codes, total = heavy_shingles(docs.select("text"), words)
+    parts = max(partitions(spark), -(-total // IN_PART))
+    dealt = docs.mapInArrow(_deal(parts, words, spark.sparkContext.broadcast((tokens, codes))), PACKED)
     counted = cut(dealt.groupBy("part").applyInPandas(_count(parts), PACKED + ", doc_id long, n long, cls long"))
     array = "array<bigint>"
     classes = cut(
@@ -244,14 +339,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     near = cut(components(_verified(pairs, sets, percent)))
 
     at = sets.join(near, sets.cls == near.node, "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.size("tokens").alias("own"), "first")
-    keyed = cut(at.select("cls", "n", "comp", "own", F.posexplode("first").alias("place", "key")).select("cls", "n", "comp", "key", (F.col("own") - F.col("place")).alias("rest")))
-    open_keys = cut(keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-    left = cut(keyed.join(open_keys, "key"))
-    x, y = (left.select("key", F.col("cls").alias(s), F.col("n").alias(f"size_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("rest").alias(f"rest_{s}")) for s in ("x", "y"))
-    # The first token that two sets share in the order has all the others behind it, in either set.
-    reach = f"{100 + percent} * least(rest_x, rest_y) >= {percent} * (size_x + size_y)"
-    pairs = x.join(y, "key").where(f"comp_x < comp_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) and {reach}").select("x", "y").distinct()
-    rest = _verified(pairs, sets, percent)
+    keyed = at.select("cls", "n", "comp", "own", F.posexplode("first").alias("place", "key")).select("cls", "n", "comp", "key", (F.col("own") - F.col("place")).alias("rest"))
+    rest = _verified(_apart(keyed, sets, percent), sets, percent)
     hop = near.select("node", "root")
     rest = rest.join(hop.toDF("a", "ra"), "a", "left").join(hop.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     far = cut(components(rest))

@@ -2,11 +2,13 @@
 
 Texts become counts of hashed three-byte grams around a letter, over the whole text in lower case.  A linear
 SVM for each family (against the rest) picks the family; within it, a linear SVM for each pair of languages
-votes.  Training uses a bounded sample of labelled rows, ``rows`` in all and about as many of each language;
-the sample is chosen by a hash of the id, so it is the same on every run.
+votes.  Training uses a bounded sample of labelled rows, at most ``rows`` in all and as many of each language as of
+any other, of the ``MOST_LANGUAGES`` languages with the most rows.  The sample is chosen by a hash of id and text, equal
+rows counting once, so it is the same on every run and keeps its bound whatever ids repeat.
 
 Null texts, and texts without a letter, are ``und`` with score 0.  Without any labelled row every text is.
-Rows whose label is null aren't learnt from.  Extra columns aren't read; repeated rows are kept.
+Rows whose label is null aren't learnt from.  An empty table gives an empty table.  Extra columns aren't read;
+repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from scorelake.llm.common import ship
 
 DIM = 1 << 13
+#: Beyond so many languages the rarer ones aren't learnt; their pairs would be too many machines.
+MOST_LANGUAGES = 300
 BLOCK = 1 << 20
 #: Families of ISO 639-1 codes; a language that isn't here is a family of its own.
 FAMILIES = {
@@ -138,12 +143,11 @@ def _stacked(texts: Iterable[str | None], at_once: int = 256) -> Iterator[tuple[
 def _sample(docs: DataFrame, learn: Column, rows: int) -> tuple[np.ndarray, list[str]]:
     """Features and labels of the training sample, in the order of ids."""
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = max(20, rows // max(1, len(counts)))
-    share = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / F.lit(1 << 20)
-    limit = F.lit(0.0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(limit)
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(rows, MOST_LANGUAGES)).collect()
+    if not counts:
+        return np.zeros((0, DIM), np.float32), []
+    each = rows // len(counts)
+    limits = docs.sparkSession.createDataFrame([(r.lang, int((1 << 40) * min(1.0, (1.25 * each + 20) / r.n))) for r in counts], "lang string, _limit long")
 
     def run(batches):
         import pyarrow as pa
@@ -154,8 +158,11 @@ def _sample(docs: DataFrame, learn: Column, rows: int) -> tuple[np.ndarray, list
             cols = [batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array([c[i] for c, i in zip(found, at, strict=True)], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "at", "n"])
 
-    picked = labelled.where(share < limit).select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, at array<int>, n array<float>")
-    got = sorted(picked.collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.lang))
+    # Somewhat more than wanted by the hash alone, equal rows once, then exactly so many in the order of the hash.
+    keyed = labelled.withColumn("_key", F.xxhash64("doc_id", "text", F.lit(7))).join(F.broadcast(limits), "lang").where(F.pmod("_key", F.lit(1 << 40)) < F.col("_limit"))
+    once = keyed.groupBy("lang", "_key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    picked = once.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("_key"))).where(F.col("_place") <= each)
+    got = sorted(picked.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, at array<int>, n array<float>").collect(), key=lambda r: (r.doc_id is None, r.doc_id, r.lang, len(r["at"])))
     x = np.zeros((len(got), DIM), np.float32)
     for i, r in enumerate(got):
         x[i, r["at"]] = r["n"]

@@ -8,7 +8,9 @@ and of bounded size.  A group with fewer than ``least`` texts uses its language'
 groups, and a language with fewer than that the one merged from all.
 
 A fence stands ``spread`` interquartile ranges outside the quartiles, and not nearer to them than the
-rate's own grain (`RATES`), so that groups of equal values don't reject their neighbours.
+rate's own grain (`RATES`), below which a difference is none: most texts have no symbols and no repeated line, so
+both quartiles are 0, and a single mark would be outside.  For these two rates the grain decides wherever three
+quarters of a group's texts have none; the README has the shares.
 
 Nulls: a null text is empty and fails the base rules; null languages and sources form groups of their own.
 Repeated rows are judged alike.  Extra columns stay untouched, whatever
@@ -29,7 +31,7 @@ from scorelake.llm.common import SPACES, boxed, code_points, cut, let, unboxed,
 RATES = {
     "symbol_rate": ("n_symbols * 10000 div greatest(word_chars, 1)", False, 300),
     "dup_line_rate": ("n_dup_lines * 10000 div (n_lines + 6)", False, 2500),
-    "word_length": ("word_chars * 10000 div greatest(n_words, 1)", True, 30000),
+    "word_length": ("word_chars * 10000 div greatest(n_words, 1)", True, 5000),
 }
 SUB = 5  # buckets of 1/32 of their value
 #: Thresholds are sent to every task only up to so many groups; beyond that they are joined by group.
@@ -126,7 +128,7 @@ def _judged(docs: DataFrame, spread: int, least: int) -> DataFrame:
     return _against(boxed(docs, *OWN), limits, limits.count() <= MOST_SENT)
 
 
-def judged(docs: DataFrame, spread: int = 4, least: int = 200) -> DataFrame:
+def judged(docs: DataFrame, spread: int = 6, least: int = 25) -> DataFrame:
     """``docs`` (text, lang, source, ...) with the base counts, ``base_failed`` and ``kept``.
 
     Two passes over the texts and no shuffle of them: the first gathers the sketches, the second judges each
@@ -136,7 +138,7 @@ def judged(docs: DataFrame, spread: int = 4, least: int = 200) -> DataFrame:
     return unboxed(_judged(docs, spread, least), docs.columns, OWN, **counts, base_failed=F.col("base_failed"), kept=F.col("kept"))
 
 
-def keep(docs: DataFrame, spread: int = 4, least: int = 200) -> DataFrame:
+def keep(docs: DataFrame, spread: int = 6, least: int = 25) -> DataFrame:
     """The rows of ``docs`` that are kept, with its columns."""
     return unboxed(_judged(docs, spread, least).where("kept"), docs.columns, OWN)
 

@@ -18,8 +18,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def dictionary() -> list[str]:
+    """The words of the registered secret scan; the operator takes any list."""
+    import public_tokenizers
+
+    return secrets.dictionary_at(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), secrets.labelled_findings(spark))
+    words = dictionary()
+    return secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), secrets.labelled_findings(spark, words), words)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,12 +202,12 @@ quart AS (
   SELECT lv, lang, source, rate, max(total) AS texts, min(cell) FILTER (WHERE upto * 4 >= total) AS q1, min(cell) FILTER (WHERE upto * 4 >= total * 3) AS q3 FROM run GROUP BY ALL),
 fence AS (
   SELECT *, CASE WHEN rate = 2 THEN q1 - room ELSE -1 END AS lo, q3 + room AS hi
-  FROM (SELECT *, greatest((q3 - q1) * 4, ([300, 2500, 30000])[rate + 1]) AS room FROM quart)),
+  FROM (SELECT *, greatest((q3 - q1) * 6, ([300, 2500, 5000])[rate + 1]) AS room FROM quart)),
 groups AS (SELECT DISTINCT lang, source FROM cells),
 chosen AS (
   SELECT g.lang, g.source, r.rate, arg_max(f.lo, f.lv) AS lo, arg_max(f.hi, f.lv) AS hi
   FROM groups g CROSS JOIN (SELECT UNNEST([0, 1, 2]) AS rate) r
-  JOIN fence f ON f.rate = r.rate AND (f.lv = 0 OR f.lang IS NOT DISTINCT FROM g.lang AND f.texts >= 200 AND (f.lv = 1 OR f.source IS NOT DISTINCT FROM g.source))
+  JOIN fence f ON f.rate = r.rate AND (f.lv = 0 OR f.lang IS NOT DISTINCT FROM g.lang AND f.texts >= 25 AND (f.lv = 1 OR f.source IS NOT DISTINCT FROM g.source))
   GROUP BY ALL),
 verdict AS (
   SELECT b.doc_id, bool_and(coalesce(([r0, r1, r2])[c.rate + 1] BETWEEN c.lo AND c.hi, true)) AS inside

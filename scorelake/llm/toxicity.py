@@ -2,12 +2,18 @@
 
 The distinct terms of a whole text (runs of letters and digits, lower case) are hashed.  Next to a weight for
 each term the machine has a short vector for each, and the products of two terms' vectors weigh their meeting
-in one text, such as an insult with the mention of a group, which additive weights can't.
-
-Training uses a bounded sample of labelled rows: about ``toxic_rows`` and ``clean_rows``, chosen by a hash of
-the id, with the intercept put back to the true shares.  Empty and null texts get the score of no term.
+in one text, such as an insult with the mention of a group, which additive weights can't.  A term takes part
+if its own texts are toxic more or less often than chance allows, or, whatever it tells alone, if its meetings with
+another term are, beyond what the two tell alone (`paired`, among the ``MOST_PAIRED`` most frequent terms).
+Hashed vocabularies are mostly terms that would only be learnt by heart; letting all in loses a fifth of
+the toxic texts.
+
+Training uses a sample of labelled rows, at most ``toxic_rows`` and ``clean_rows`` of them whatever the ids are,
+chosen by a hash of the id, with the intercept put back to the true shares.  An id that repeats is one row of the
+sample: its label is the greater one, its text the first by hash.  Empty and null texts get the score of no term.
 Rows without a label, or with a null one, aren't learnt from.  With no labelled row, or labels of one kind
-only, the score is that share.  Extra columns aren't read; repeated rows are kept.
+only, the score is that share.  An empty table gives an empty table.  Extra columns aren't read; repeated rows are
+kept.
 """
 
 from __future__ import annotations
@@ -22,6 +28,8 @@ from scorelake.llm.common import ship
 from scorelake.llm.shingles import hashed_terms
 
 BITS = 18
+#: Terms among which meetings are counted: a bound on the work of training.
+MOST_PAIRED = 2500
 
 
 def _values(n: np.ndarray) -> np.ndarray:
@@ -47,7 +55,7 @@ def calibrate(z: np.ndarray, label: np.ndarray, steps: int = 100) -> tuple[float
 
 
 class Machine:
-    """Intercept, weights and vectors over hashed terms; terms that tell nothing in training have none."""
+    """Intercept, weights and vectors over hashed terms; terms that training didn't see have none."""
 
     def __init__(self, bits: int = BITS, rank: int = 8):
         self.bias = 0.0
@@ -83,11 +91,7 @@ class Machine:
         self.bias += _odds(share) - _odds(got)
 
     def _learn(self, at, sizes, label, epochs: int = 40, rate: float = 0.15, reg: float = 2e-6, batch: int = 400, seed: int = 11, least: int = 3, screen: float = 4.0) -> None:
-        """Adaptive gradient steps on the logistic loss.
-
-        Only terms of at least ``least`` texts whose share of toxic ones is ``screen`` standard deviations off
-        take part: hashed vocabularies are mostly terms that would only be learnt by heart.
-        """
+        """Adaptive gradient steps on the logistic loss over the terms that tell something, alone or in a meeting."""
         n, got = len(sizes), float(np.mean(label)) if len(sizes) else 0.0
         self.bias = _odds(got)
         if got in (0.0, 1.0):
@@ -95,8 +99,10 @@ class Machine:
         rng = np.random.default_rng(seed)
         owner = np.repeat(np.arange(n), sizes)
         seen = np.bincount(at, minlength=len(self.w))
-        away = np.abs(np.bincount(at, label[owner], len(self.w)) - seen * got) / np.sqrt(np.maximum(seen, 1) * got * (1 - got))
-        told = ((seen >= least) & (away >= screen))[at]
+        toxic = np.bincount(at, label[owner], len(self.w))
+        telling = (seen >= least) & (np.abs(toxic - seen * got) / np.sqrt(np.maximum(seen, 1) * got * (1 - got)) >= screen)
+        telling[paired(at, owner, label, seen, toxic)] = True
+        told = telling[at]
         owner = owner[told]
         terms, at = np.unique(at[told], return_inverse=True)
         value = _values(sizes)
@@ -130,6 +136,35 @@ class Machine:
         self.w[terms], self.v[terms], self.bias = w, v, float(bias)
 
 
+def paired(at: np.ndarray, owner: np.ndarray, label: np.ndarray, seen: np.ndarray, toxic: np.ndarray, least: int = 20, screen: float = 6.0) -> np.ndarray:
+    """The terms whose meetings with another are toxic more or less often than the two terms' own shares explain.
+
+    Counts all pairs of the ``MOST_PAIRED`` most frequent terms that are in ``least`` texts; the share expected
+    of a meeting is the one whose log odds are the sum of the two terms' shifts.
+    """
+    terms = np.argsort(-seen, kind="stable")[:MOST_PAIRED]
+    terms = np.sort(terms[seen[terms] >= least])
+    place = np.full(len(seen), -1)
+    place[terms] = np.arange(len(terms))
+    here = place[at] >= 0
+    x = np.zeros((len(label), len(terms)), np.float32)
+    x[owner[here], place[at[here]]] = 1
+    odds = lambda p: np.log(p / (1 - p))
+    base = odds(label.mean())
+    shift = odds((toxic[terms] + label.mean()) / (seen[terms] + 1)) - base
+    bad, telling = x[label == 1], np.zeros(len(terms), bool)
+    for lo in range(0, len(terms), 500):
+        part = slice(lo, lo + 500)
+        n, k = x[:, part].T @ x, bad[:, part].T @ bad
+        p = 1 / (1 + np.exp(-(base + shift[part, None] + shift[None, :])))
+        far = np.abs(k - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9) + 1)
+        far[n < least] = 0
+        far[np.arange(far.shape[0]), np.arange(lo, lo + far.shape[0])] = 0
+        telling |= (far >= screen).any(axis=0)
+        telling[part] |= (far >= screen).any(axis=1)
+    return terms[telling]
+
+
 def _batches(texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[list[np.ndarray]]:
     group, size = [], 0
     for t in hashed_terms(texts, BITS):
@@ -143,11 +178,16 @@ def _batches(texts: Iterable[str | None], most: int = 1 << 19) -> Iterator[list[
 
 
 def _sample(docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int, clean_rows: int):
+    """Terms, sizes and labels of the training sample, in the order of ids, and the share of label 1 among all labelled rows."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / F.lit(1 << 20)
-    limit = F.when(F.col("toxic") == 1, F.lit(toxic_rows / max(1, counts.get(1, 0)))).otherwise(F.lit(clean_rows / max(1, counts.get(0, 0))))
-    picked = known.where(share < limit)
+    chance = F.xxhash64("doc_id", F.lit(11))
+    picked = None
+    for label, most in ((1, toxic_rows), (0, clean_rows)):
+        # About a quarter more than wanted by the hash alone, then exactly so many in the order of the hash.
+        near = known.where((F.col("toxic") == label) & (F.pmod(chance, F.lit(1 << 20)) < F.lit(int((1 << 20) * (1.25 * most + 20) / max(1, counts.get(label, 0))))))
+        some = near.orderBy(chance).limit(most)
+        picked = some if picked is None else picked.unionByName(some)
 
     def run(batches):
         import pyarrow as pa
@@ -156,9 +196,10 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column, toxic_rows: int,
             at = list(hashed_terms((s.as_py() for s in batch.column("text")), BITS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32()))], names=["doc_id", "toxic", "at"])
 
-    # The sample's size is bounded by its parameters, so it is the side to broadcast.
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, at array<int>")
-    got = sorted(rows.toPandas().itertuples(index=False), key=lambda r: (r.doc_id, len(r.at)))
+    # The sample's size is bounded by its parameters, so it is the side to broadcast; an id gives one text.
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).mapInArrow(run, "doc_id long, toxic int, at array<int>")
+    got = sorted(rows.toPandas().itertuples(index=False), key=lambda r: r.doc_id)
     sizes = np.array([len(r.at) for r in got], np.int64)
     at = np.concatenate([np.asarray(r.at, np.int64) for r in got]) if got else np.empty(0, np.int64)
     return at, sizes, np.array([r.toxic for r in got], np.float64), counts.get(1, 0) / max(1, sum(counts.values()))
