@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import bpe, jaccard, linedup, mixing, quality
-from scorelake.llm.common import cut, documents
+from scorelake.llm.common import boxed, cut, documents, unboxed
 from scorelake.llm.queries import vocabulary
 
 
@@ -27,10 +27,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), words=5, percent=75)
-    others = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents the one with the least doc_id stays.
+
+    Rows without a doc_id count behind all others, in the order of a hash of their text; equal ones are one document.
+    """
+    behind = F.pmod(F.xxhash64("text"), F.lit(1 << 61)) + F.lit(1 << 62)
+    rows = boxed(docs, "doc_id", "text").withColumn("_rank", F.coalesce("doc_id", behind))
+    found = jaccard.jaccard_components(rows.select(F.col("_rank").alias("doc_id"), "text"), words=5, percent=75)
+    others = found.where("component_id < doc_id").select(F.col("doc_id").alias("_rank")).distinct()
+    return unboxed(rows.join(others, "_rank", "left_anti"), docs.columns, ("doc_id", "text"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
