@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import struct
 
@@ -78,3 +79,16 @@ def test_columns(spark, odd, odd_texts, empty):
     both = bpe.decode(bpe.encode(odd.select("doc_id", "text"), vocabulary()), vocabulary()).collect()
     assert all(r.decoded == (r.text or "") for r in both)
     assert bpe.round_trip(empty.select("doc_id", "text"), vocabulary()).collect() == []
+
+
+def test_special_tokens_of_any_spelling_and_refused_settings(tmp_path):
+    spec = json.load(open(vocabulary(), encoding="utf-8"))
+    spec["added_tokens"][0] |= {"content": "[SEP]"}
+    path = tmp_path / "sep.json"
+    path.write_text(json.dumps(spec))
+    text = "a[SEP] b[SEP][SEP"
+    assert ids_of(bpe.Encoder(bpe.Merges.from_file(str(path))), text) == tokenizers.Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"unk_token": "a"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Merges.from_file(str(path))

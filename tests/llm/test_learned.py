@@ -2,8 +2,10 @@
 
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scorelake.llm import html, langid, toxicity
@@ -63,6 +65,34 @@ def test_factorization_machine_learns_meetings():
     assert right.mean() > 0.97
 
 
+@pytest.mark.parametrize("toxic", [lambda a, b: a != b, lambda a, b: a == b])
+def test_factorization_machine_learns_words_that_tell_nothing_alone(toxic):
+    """Toxic iff exactly one of two words is there, or iff both or none: neither word's own share is off."""
+    rng = random.Random(3)
+    texts, label = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([prose(rng, 10, 60)] + ["insult"] * a + ["group"] * b))
+        label.append(float(toxic(a, b)))
+    terms = list(toxicity.hashed_terms(texts, toxicity.BITS))
+    m = toxicity.Machine()
+    join = lambda x: (np.concatenate(x), np.array([len(t) for t in x]))
+    m.fit(*join(terms[:3200]), np.array(label[:3200]), float(np.mean(label[:3200])))
+    assert ((m.score(*join(terms[3200:])) >= 0) == np.array(label[3200:], bool)).mean() > 0.97
+
+
+def test_samples_keep_their_bounds(spark):
+    """Ids that repeat very often, with equal and with different texts, and very many languages."""
+    rng = random.Random(8)
+    rows = [(i % 3, f"same id {i % 40}", "en") for i in range(600)] + [(None, "no id", "en")] * 200 + [(1000 + i, spoken(rng, "de", 9), f"l{i % 90}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    x, lang = langid._sample(docs, F.lit(True), 100)
+    assert 0 < len(lang) <= 100 and len(x) == len(lang)
+    labels = spark.createDataFrame([(i, i % 2) for i in (0, 1, 2)] * 50 + [(1000 + i, i % 2) for i in range(900)], "doc_id long, toxic int")
+    _, sizes, label, share = toxicity._sample(docs, labels, F.lit(True), 20, 30)
+    assert label.sum() <= 20 and len(label) - label.sum() <= 30 and len(sizes) > 40 and abs(share - 0.5) < 0.01
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     bad = ["idiot", "moron", "scum"]
@@ -91,12 +121,27 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var x = "</p><p>no
 
 
 def test_article_text():
-    assert html.main_text(PAGE, set(), None) == "A & B\nOne two three four five\na < b ©\nx\ny"
+    assert html.main_text(PAGE, None) == "A & B\nOne two three four five\na < b ©\nx\ny"
+
+
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'class="side-by-side"', 'data-class="ad"', 'id="search-methods"', "title='class=ad'", 'class="header-text main"'])
+def test_parts_that_only_look_like_notices_stay(attrs):
+    assert html.main_text(f"<body><article><p>one</p><div {attrs}><p>two</p></div></article></body>", None) == "one\ntwo"
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'class="ad"', "class=ad-banner", 'class="x comment-list"', 'id="cookie_notice"', 'aria-hidden="true"', "role=complementary", 'class="a&#100;"'])
+def test_parts_that_are_not_the_article_go(attrs):
+    assert html.main_text(f"<body><article><p>one</p><div {attrs}><p>two</p></div><p>three</p></article></body>", None) == "one\nthree"
+
+
+def test_comments_that_are_articles_and_headers_in_articles():
+    page = "<body><article><header><h1>T</h1><p>By me</p></header><p>one two three</p></article><article class='comment'><p>first! a b c d e f g</p></article></body>"
+    assert html.main_text(page, None) == "T\none two three"
 
 
 def test_broken_pages():
     for page, want in (("", ""), ("plain text", "plain text"), ("<article><p>a<p>b", "a\nb"), ("<article><p>a</p><scr", "a"), ("<p>a < b</p>", "a < b"), ("<script>x", ""), ("</div></p>a", "a"), ("<article><p>x<!-- y", "x"), ("<article><p>a</p><script>b", "a")):
-        assert html.main_text(page, set(), None) == want
+        assert html.main_text(page, None) == want
 
 
 def host_pages(n, host, article):
@@ -116,7 +161,68 @@ def test_templates_find_the_main_slots(spark):
     got = {r.page_id: r.text for r in html.extract(df).collect()}
     assert [got[i] for i in range(len(pages))] == [t for _, _, t in pages]
     found = {r.host: r for r in html.templates(df).collect()}
-    assert set(found) == {"a.example", "b.example"} and found["b.example"].main == "/html/body/div.text" and len(found["b.example"].known) == 3
+    assert set(found) == {"a.example", "b.example"} and len(found["b.example"].known) == 3
+    assert html.path_hash("/html/body/div.text") in {n.token for n in found["b.example"].nodes}
+
+
+def plain_templates(pages, least=3):
+    """(host: known texts, mean slot text of each container) from the occurrence vectors themselves."""
+    by_host, small = defaultdict(list), []
+    for url, page in pages:
+        by_host[html.host_of(url)].append(page)
+    for host in [h for h, p in by_host.items() if len(p) < least]:
+        small += by_host.pop(host)
+    out = {}
+    for host, own in [*by_host.items(), *([(None, small)] if len(small) >= least else [])]:
+        vectors, chars, kinds, around = defaultdict(lambda: [0] * len(own)), Counter(), {}, {}
+        for i, page in enumerate(own):
+            vectors["", None][i] = 1
+            kinds["", None] = True
+            for b in html.blocks(page):
+                key = (b.path, b.text or None)
+                if b.text and b.off:
+                    continue
+                vectors[key][i] += 1
+                if b.text and not b.header:
+                    chars[key] += b.free
+                kinds[key] = not b.off and not b.header
+                around[key] = (b.path, None)
+        on = {k: sum(x > 0 for x in v) for k, v in vectors.items()}
+        tags = {tuple(v) for k, v in vectors.items() if k[1] is None}
+        known = {k for k, v in vectors.items() if k[1] and host is not None and on[k] >= least and 2 * on[k] >= len(own) and tuple(v) in tags}
+        slots = Counter()
+        for k, n in chars.items():
+            if k not in known:
+                for i in range(k[0].count("/") + 1):
+                    slots["/".join(k[0].split("/")[: i + 1])] += n
+        nodes = {k[0]: slots[k[0]] / on[k] for k in vectors if k[1] is None and kinds[k] and on[k] >= least and 10 * on[k] >= len(own)}
+        out[host] = ({html.text_hash(*k) for k in known}, {html.path_hash(p): v for p, v in nodes.items()})
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(13)
+    pages = []
+    for i in range(60):
+        items = "".join(f"<li><a href='/{k}'>{prose(rng, 1)}</a> {prose(rng, 1)}</li>" for k in range(rng.choice([2, 2, 5])))
+        fixed = "<div class='box'>Welcome to us</div>" * (i % 4 > 0)
+        text = "".join(f"<p>{prose(rng, rng.randrange(1, 30))}</p>" for _ in range(rng.randrange(4)))
+        where = rng.choice(["div class='text'", "article", f"section id='post-{i}'"])
+        pages.append((f"http://h{rng.choice([0, 0, 1, 2, 2, 2, 10 + i])}.example/{i}", f"<html><body><nav>{prose(rng, 2)}</nav><ul>{items}</ul>{fixed}<{where}>{text}</{where.split()[0]}><p>Bye</p></body></html>"))
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    got = {r.host: (set(r.known or ()), {n.token: n.within for n in r.nodes}) for r in html.templates(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    want = plain_templates(pages)
+    assert set(got) == set(want) and None in got and len(got) > 3
+    for host, (known, nodes) in want.items():
+        assert got[host][0] == known and set(got[host][1]) == set(nodes)
+        assert all(abs(got[host][1][k] - v) < 1e-9 for k, v in nodes.items())
+
+
+def test_pages_without_a_body_tag_have_templates(spark):
+    rng = random.Random(14)
+    text = [prose(rng, 30) for _ in range(6)]
+    rows = [(i, f"http://n.example/{i}", f"<div class='top'>Menu of the site</div><div class='story'><p>{t}</p></div><div class='end'>{prose(rng, 2)}</div>") for i, t in enumerate(text)]
+    assert [r.text for r in sorted(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())] == text
 
 
 def test_templates_decide_on_pages_with_articles(spark):

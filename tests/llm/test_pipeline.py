@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 import pyspark.sql.types as T
+from pyspark.sql import functions as F
 
 from __spark_entry__ import oracle_sql, queries
 from scorelake.llm import mixing
@@ -59,17 +60,28 @@ def test_every_stage_against_plain_python(spark):
 
 
 def test_no_scrap_of_an_exact_copy_is_left(spark):
-    """Copies of texts of many lines, single-line chunks among them, and of one that has no other chunk."""
+    """Copies of texts of many lines and of single short lines, which have no chunk."""
     rng = random.Random(6)
     texts = ["\n".join(prose(rng, rng.randrange(8, 20)) for _ in range(rng.randrange(1, 9))) for _ in range(40)]
-    scraps = [new for new, gone in plain_dedup(texts + texts[:30])[40:] if gone and WORD.search(new)]
-    assert len(scraps) > 10  # what the chunks alone would leave
+    assert any("\n" not in t for t in texts[:30])
     docs = table(spark, texts + texts[:30] + texts[:3]).unionByName(table(spark, texts[:2], 5000))
     again = docs.unionByName(docs.where("doc_id in (7, 47)"))
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.line_dedup(spark, again, "").collect())
     assert got == sorted([*enumerate(texts), (7, texts[7])])
 
 
+def test_near_copies_without_an_id_go(spark):
+    rng = random.Random(7)
+    a, b = prose(rng, 60), prose(rng, 60)
+    docs = table(spark, [a, b]).selectExpr("*", "1 as `a.b`")
+    nulls = docs.where("doc_id = 0").selectExpr("cast(null as long) as doc_id", *[f"`{c}`" for c in docs.columns if c != "doc_id"])
+    lone = nulls.withColumn("text", F.lit(prose(rng, 60)))
+    near = lone.withColumn("text", F.concat("text", F.lit(" and more")))
+    got = corpus_pipeline.near_duplicates(spark, docs.unionByName(nulls).unionByName(lone).unionByName(near), "")
+    rows = got.collect()
+    assert got.columns == docs.columns and len(rows) == 3 and sorted(r.doc_id for r in rows if r.doc_id is not None) == [0, 1]
+
+
 def test_run_over_a_folder(spark, tmp_path):
     rng = random.Random(2)
     docs = table(spark, [prose(rng, 60) for _ in range(30)]).select("doc_id", "text", "lang", "source", "n_chars")
