@@ -17,7 +17,7 @@ class Lexicon:
     def __init__(self, rows: list[tuple[str, int, int]]):
         """``rows`` has each term with its two hashes, as `Lexicon.of` collects them."""
         self.terms = [t for t, _, _ in rows]
-        self.mask, cells = (1 << max(4, (2 * len(rows)).bit_length())) - 1, None
+        self.mask, cells = (1 << max(4, len(rows).bit_length())) - 1, None
         while cells is None:
             self.mask = 2 * self.mask + 1
             cells = self._filled(rows)

@@ -28,6 +28,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -35,7 +36,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import boxed, let, unboxed
+from scorelake.llm.common import boxed, cut, let, unboxed
 from scorelake.llm.lexicon import Lexicon, once
 
 NEAR = 48
@@ -50,7 +51,7 @@ PATTERNS = (
 )
 FOUND = "|".join(PATTERNS)
 #: Words of at least so many letters count as covered by the dictionary; so many words and odds are kept at most.
-LEAST_LETTERS, MOST_WORDS, MOST_ODDS = 4, 100_000, 4000
+LEAST_LETTERS, MOST_WORDS, MOST_ODDS = 4, 100_000, 2000
 NOTHING = "example|xxxx|your|changeme|1234567|abcdef|placeholder|sample|dummy|redacted|[*]{4}|[$][{]|process[.]env|getenv|environ|<[a-z_]+>"
 
 FEATURES = (
@@ -59,11 +60,12 @@ FEATURES = (
 )
 
 
-def dictionary_at(path: str) -> list[str]:
-    """The whole words in a word-level vocabulary file of the tokenizers library."""
+def dictionary_at(path: str, most: int = 12_000) -> list[str]:
+    """The first whole words, which are the more common ones, in a word-level vocabulary file of the tokenizers library."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    return sorted({w for t in vocab for w in [t.removesuffix("</w>").lower()] if t.endswith("</w>") and re.fullmatch(f"[a-z]{{{LEAST_LETTERS},}}", w)})
+    whole = [t.removesuffix("</w>") for t, _ in sorted(vocab.items(), key=lambda x: x[1]) if t.endswith("</w>")]
+    return sorted([w for w in whole if re.fullmatch(f"[a-z]{{{LEAST_LETTERS},}}", w)][:most])
 
 
 def chain(words: list[str]) -> list[float]:
@@ -84,22 +86,29 @@ class Scanner:
     forest: PipelineModel | None = None
     share: float = 0.0
 
-    def features(self, c: str = "candidate", before: str = "before", after: str = "after") -> list[Column]:
-        share = lambda c, pattern: F.regexp_count(c, F.lit(pattern)) / F.greatest(F.length(c), F.lit(1))
-        x, left, right = F.col(c), F.col(before), F.col(after)
-        low = F.lower(x)
-        kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "m")
-        codes = F.transform(F.split(x, ""), lambda s: F.ascii(s))
-        step = let(codes, lambda a: F.aggregate(F.zip_with(F.slice(a, 2, F.size(a)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda p, q: F.abs(p - q)), F.lit(0).cast("long"), lambda s, p: s + p) / F.greatest(F.size(a) - 1, F.lit(1)))
+    def features(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (candidate, before, after, ...) with the features."""
         table = "cast(split('" + ",".join(map(str, self.transitions)) + "', ',') as array<double>)"
-        letters = f"transform(split(lower({c}), ''), s -> ascii(s) - 97)"
+        letters = "transform(split(lower(candidate), ''), s -> ascii(s) - 97)"
         known = "filter(transform(sequence(1, greatest(size(a) - 1, 1)), i -> case when a[i - 1] between 0 and 25 and get(a, i) between 0 and 25 then get(t, 26 * a[i - 1] + get(a, i)) end), p -> p is not null)"
         pairs = once(letters, "a", once(table, "t", known))
-        covered = once(self.words.table(), "cells", f"filter(transform(regexp_extract_all({c}, '([A-Z]?[a-z]+|[A-Z]+)', 1), w -> lower(w)), w -> length(w) >= {LEAST_LETTERS} and {self.words.has('cells', 'w')})")
+        covered = once(self.words.table(), "cells", f"filter(transform(regexp_extract_all(candidate, '([A-Z]?[a-z]+|[A-Z]+)', 1), w -> lower(w)), w -> length(w) >= {LEAST_LETTERS} and {self.words.has('cells', 'w')})")
         odds = "str_to_map('" + ",".join(f"{w}:{v:.3f}" for w, v in sorted(self.odds.items()) or [("-", 0.0)]) + "')"
-        of = lambda words: once(odds, "o", f"transform({words}, w -> coalesce(cast(element_at(o, w) as double), 0D))")
         said = lambda side: f"filter(split(lower({side}), '[^a-z0-9_]+'), w -> w <> '')"
-        names = f"slice(reverse({said(before)}), 1, 4)"
+        names = f"concat(slice(array_append(reverse({said('before')}), ''), 1, 4), slice({said('after')}, 1, 2))"
+        of = once(odds, "o", f"transform({names}, w -> coalesce(cast(element_at(o, w) as double), 0D))")
+        # Once for each row, as the tables in them are large.
+        made = rows.select("*", F.explode(F.array(F.struct(F.expr(pairs).alias("pairs"), F.expr(f"transform({covered}, w -> length(w))").alias("words"), F.expr(of).alias("odds")))).alias("_f"))
+        return made.select("*", *self._features()).drop("_f")
+
+    @staticmethod
+    def _features() -> list[Column]:
+        share = lambda c, pattern: F.regexp_count(c, F.lit(pattern)) / F.greatest(F.length(c), F.lit(1))
+        x, left, right = F.col("candidate"), F.col("before"), F.col("after")
+        low = F.lower(x)
+        kind = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "m")
+        codes = F.transform(F.split(x, ""), lambda s: F.ascii(s))
+        step = let(codes, lambda a: F.aggregate(F.zip_with(F.slice(a, 2, F.size(a)), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), lambda p, q: F.abs(p - q)), F.lit(0).cast("long"), lambda s, p: s + p) / F.greatest(F.size(a) - 1, F.lit(1)))
         values = {
             "length": F.length(x),
             "changes": F.regexp_count(kind, F.lit("(?<=l)[udm]|(?<=u)[ldm]|(?<=d)[lum]|(?<=m)[lud]")) / F.greatest(F.length(x), F.lit(1)),
@@ -112,10 +121,10 @@ class Scanner:
             "marks": share(x, r"[+/_=.\-]"),
             "symbols": share(x, r"[^A-Za-z0-9+/_=.\-\s]"),
             "spaces": F.regexp_count(x, F.lit(r"\s")),
-            "transitions": F.expr(once(pairs, "p", "case when size(p) = 0 then -9D else aggregate(p, 0D, (s, v) -> s + v) / size(p) end")),
-            "pairs": F.expr(f"size({pairs})") / F.greatest(F.length(x), F.lit(1)),
-            "words": F.expr(f"aggregate({covered}, 0, (s, w) -> s + length(w))") / F.greatest(F.length(x), F.lit(1)),
-            "longest_word": F.expr(f"coalesce(array_max(transform({covered}, w -> length(w))), 0)"),
+            "transitions": F.expr("case when size(_f.pairs) = 0 then -9D else aggregate(_f.pairs, 0D, (s, v) -> s + v) / size(_f.pairs) end"),
+            "pairs": F.size("_f.pairs") / F.greatest(F.length(x), F.lit(1)),
+            "words": F.expr("aggregate(_f.words, 0, (s, n) -> s + n)") / F.greatest(F.length(x), F.lit(1)),
+            "longest_word": F.coalesce(F.array_max("_f.words"), F.lit(0)),
             "dots": F.regexp_count(x, F.lit(r"\.")),
             "slashes": F.regexp_count(x, F.lit("/")),
             "dashes": F.regexp_count(x, F.lit("-")),
@@ -128,8 +137,8 @@ class Scanner:
             "block": x.startswith("-----BEGIN"),
             "placeholder": low.rlike(NOTHING),
             "mean_step": step,
-            "name_odds": F.expr(f"coalesce(get({of(names)}, 0), 0D)"),
-            "near_odds": F.expr(f"aggregate({of(f'concat({names}, slice({said(after)}, 1, 2))')}, 0D, (s, v) -> s + v)"),
+            "name_odds": F.expr("coalesce(get(_f.odds, 0), 0D)"),
+            "near_odds": F.expr("aggregate(_f.odds, 0D, (s, v) -> s + v)"),
         }
         return [values[f].cast("double").alias(f) for f in FEATURES]
 
@@ -162,7 +171,7 @@ DIGEST_NAMES = "sha1 sha256 sha512 md5 checksum commit digest hash etag integrit
 
 def labelled_findings(spark: SparkSession, words: list[str], rows: int = 8000, seed: int = 5) -> DataFrame:
     """A bounded table of labelled findings made by rule, the same on every run; ``words`` are for prose and identifiers."""
-    words = words[:: max(1, len(words) // 500)][:500] or ["word"]
+    words = words[:: max(1, len(words) // 250)][:250] or ["word"]
     quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
     r = lambda salt, n: f"pmod(xxhash64(id, '{salt}', {seed}), {n})"
     pick = lambda salt, of: f"element_at(array({', '.join(map(quote, of))}), cast({r(salt, len(of))} as int) + 1)"
@@ -212,11 +221,12 @@ def labelled_findings(spark: SparkSession, words: list[str], rows: int = 8000, s
         (0, any_name, assigned, f"cast(1000 + {r('x', 10**9)} as string)"),
         (0, any_name, bare, f"concat({word('y')}, '-', {word('y2')}, '-', {word('y3')}, '-', {word('y4')})"),
     ]
-    choice = r("case", len(cases))
-    of = lambda k: "case " + " ".join(f"when choice = {i} then {c[k] if k == 3 else c[k] if k == 0 else pick(f'{k}{i}', c[k])}" for i, c in enumerate(cases)) + " end"
-    made = spark.range(rows).selectExpr("id", f"{choice} as choice").selectExpr("id", f"{of(1)} as name", f"{of(2)} as between", f"{of(3)} as candidate", f"{of(0)} as label")
     close = "case " + " ".join(f"when endswith(between, {quote(q)}) then {quote(q)}" for q in ('"', "'")) + " when contains(between, '://') then '@' else ' ' end"
-    return made.selectExpr(f"concat({text('z', 2)}, ' ', name, between) as before", "candidate", f"concat({close}, {text('zz', 2)}) as after", "label")
+    # One small plan for each case: all in one expression would be too much code for the compiler.
+    ids = spark.range(0, rows, 1, 1).withColumn("choice", F.expr(r("case", len(cases))))
+    made = [ids.where(F.col("choice") == i).selectExpr("id", f"{pick(f'1{i}', names)} as name", f"{pick(f'2{i}', between)} as between", f"{value} as candidate", f"{label} as label") for i, (label, names, between, value) in enumerate(cases)]
+    made = [m.selectExpr(f"concat({text('z', 2)}, ' ', name, between) as before", "candidate", f"concat({close}, {text('zz', 2)}) as after", "label") for m in made]
+    return reduce(DataFrame.unionByName, made)
 
 
 def neighbour_odds(findings: DataFrame, least: int = 5) -> dict[str, float]:
@@ -232,6 +242,7 @@ def train(findings: DataFrame, words: list[str], trees: int = 32, depth: int = 1
     """The scanner for a table of labelled findings (before, candidate, after, label) and a dictionary."""
     spark = findings.sparkSession
     rows = findings.select("before", "candidate", "after", F.col("label").cast("double").alias("label")).where("candidate is not null and label in (0.0, 1.0)")
+    rows = cut(rows.na.fill("", ["before", "after"]))
     terms = spark.createDataFrame([(w,) for w in words], "t string")
     scanner = Scanner(Lexicon.of(terms, MOST_WORDS), chain(words), {})
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -241,7 +252,7 @@ def train(findings: DataFrame, words: list[str], trees: int = 32, depth: int = 1
     scanner.odds = neighbour_odds(rows)
     together = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
-    scanner.forest = PipelineModel([together, forest.fit(together.transform(rows.na.fill("", ["before", "after"]).select("label", *scanner.features())))])
+    scanner.forest = PipelineModel([together, forest.fit(together.transform(scanner.features(rows).select("label", *FEATURES)))])
     return scanner
 
 
@@ -252,7 +263,7 @@ def _scored(docs: DataFrame, scanner: Scanner, least: float) -> DataFrame:
     if scanner.forest is None:
         score = F.lit(scanner.share)
     else:
-        rows = scanner.forest.transform(rows.select("*", *scanner.features()))
+        rows = scanner.forest.transform(scanner.features(rows))
         score = F.element_at(vector_to_array("_probability"), 2)
     return rows.select("doc_id", "_th", "place", "candidate", score.alias("score"), (score >= least).alias("is_secret"))
 

@@ -297,7 +297,7 @@ def test_secret_forest_on_held_out_findings(findings, words):
     held = F.pmod(F.xxhash64("candidate"), F.lit(4)) == 0
     scanner = secrets.train(findings.where(~held), words)
     test = findings.where(held)
-    got = scanner.forest.transform(test.select("label", "before", "candidate", "after", *scanner.features())).select("label", "_prediction").collect()
+    got = scanner.forest.transform(scanner.features(test)).select("label", "_prediction").collect()
     assert len(got) > 500 and sum(r.label == r._prediction for r in got) / len(got) > 0.94
 
 
