@@ -28,7 +28,7 @@ KEY = ("doc_id", "_th")
 #: What a place stands for: a line with the next one, a long line alone, or the whole row.
 PAIR, ALONE, WHOLE = 0, 1, 2
 #: The repeated hashes are sent to every task up to so many; beyond that rows are joined with them by hash.
-MOST_SENT = 500_000
+MOST_SENT = 2_000_000
 
 
 def numbered(lines: Column) -> Column:
@@ -95,7 +95,8 @@ OWN = ("doc_id", "text")
 
 
 def _deduped(docs: DataFrame, long_words: int, whole: bool = False) -> DataFrame:
-    gone = cut(removals(docs.select(*OWN), long_words, whole)).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "gone")
+    # Merged at every size: what goes can be as many rows as there are texts.
+    gone = cut(removals(docs.select(*OWN), long_words, whole)).select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h"), "gone").hint("merge")
     both = boxed(docs, *OWN).withColumn("_th", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left")
     if whole:
         both = both.where(F.col("gone").isNull() | ~F.exists("gone", lambda g: g["kind"] == WHOLE))
