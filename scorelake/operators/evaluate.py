@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.scores import approved, detection_score, p99_score
+from scorelake.functions.scores import detection_score, p99_score
+from scorelake.operators.decide import decide
 
 
 def confusion(outcomes: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -25,10 +28,37 @@ def rates(counts: DataFrame) -> DataFrame:
     return rows.withColumn("error_rate", share(F.col("weighted_error"))).withColumn("failure_rate", share(F.col("fp") + F.col("fn") + F.col("err")))
 
 
+def value_at(rows: DataFrame, column: str, rank: int, at_once: int = 10_000, ways: int = 1024) -> float:
+    """The value with so many before it in ascending order, by histograms of ever narrower ranges.
+
+    Counts add up map-side, so no task gathers the values; only the last range's (``at_once`` at most) are sorted.
+    """
+    rows = rows.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    while n > at_once and lo < hi:
+        part = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit((hi - lo) / ways)), F.lit(ways - 1))
+        rows = rows.where(F.col("v").between(lo, hi))
+        for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("part").collect():
+            if rank < r.n:
+                lo, hi, n = r.lo, r.hi, r.n
+                break
+            rank -= r.n
+    return lo if lo == hi else sorted(r.v for r in rows.where(F.col("v").between(lo, hi)).collect())[rank]
+
+
+def percentile(rows: DataFrame, column: str, p: float) -> float:
+    """The exact percentile, between two values in proportion; 0 without values."""
+    n = rows.where(F.col(column).isNotNull()).count()
+    if not n:
+        return 0.0
+    place = p * (n - 1)
+    low = value_at(rows, column, int(place))
+    return low if place == int(place) else low + (place - int(place)) * (value_at(rows, column, int(place) + 1) - low)
+
+
 def evaluate(outcomes: DataFrame) -> DataFrame:
     """One row: counts, rates, the exact 99th percentile of ``duration_ms`` and the three scores."""
-    p99 = outcomes.agg(F.coalesce(F.percentile("duration_ms", F.lit(0.99)), F.lit(0.0)).alias("p99"))
-    both = rates(confusion(outcomes)).join(F.broadcast(p99))
+    both = rates(confusion(outcomes)).withColumn("p99", F.lit(percentile(outcomes, "duration_ms", 0.99)))
     both = both.withColumn("p99_score", p99_score(F.col("p99"))).withColumn("detection_score", detection_score(F.col("weighted_error"), F.col("error_rate"), F.col("failure_rate")))
     return both.withColumn("final_score", F.col("p99_score") + F.col("detection_score"))
 
@@ -39,22 +69,21 @@ def mismatches(decisions: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def calibrate(index, queries: DataFrame, expected: DataFrame, probes: list[int], k: int = 5) -> DataFrame:
-    """(probes, n, fp, fn, errors, error_pct) for each number of probes, from one search at the largest.
-
-    A candidate of probe rank r is seen by every setting of r or more, so each is ranked on the same candidates.
-    """
-    from scorelake.operators.ivf import probe_select
-    from scorelake.operators.knn import ranked
-
-    probed = probe_select(queries, index.centroids, index.params.dims, max(probes))
-    seen = index.candidates(probed, queries).select("query_id", "vec_id", "dist", "is_fraud", "probe_rank")
-    each = seen.withColumn("probes", F.explode(F.filter(F.array(*map(F.lit, probes)), lambda p: p >= F.col("probe_rank"))))
-    each = each.withColumn("group", F.struct("probes", "query_id"))
-    near = ranked(each, k, by="group").groupBy("probes", "query_id").agg(F.count_if("is_fraud").alias("fraud_count"))
-    every = expected.withColumn("probes", F.explode(F.array(*map(F.lit, probes))))
-    rows = every.join(near, ["probes", "query_id"], "left").withColumn("approved", approved(F.col("fraud_count"), k)).withColumn("status", F.lit(200))
-    counts = confusion(rows, ["probes"]).withColumn("errors", F.col("fp") + F.col("fn"))
-    return counts.select("probes", "n", "fp", "fn", "errors", (100.0 * F.col("errors") / F.col("n")).alias("error_pct"))
+    """(probes, n, fp, fn, errors, error_pct, seconds, us_per_query) for each number of probes, each searched and timed."""
+    rows = []
+    for p in probes:
+        began = time.perf_counter()
+        found = decide(queries, index.search(queries, k, p), k).join(expected, "query_id").withColumn("status", F.lit(200))
+        c = confusion(found).first()
+        spent = time.perf_counter() - began
+        rows.append((p, c.n, c.fp, c.fn, c.fp + c.fn, 100.0 * (c.fp + c.fn) / max(1, c.n), spent, 1e6 * spent / max(1, c.n)))
+    return queries.sparkSession.createDataFrame(rows, "probes int, n long, fp long, fn long, errors long, error_pct double, seconds double, us_per_query double")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: how many of the exact neighbours (query_id, vec_id) were found."""
+    both = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.count("*").alias("n"), F.count("hit").alias("found")).withColumn("recall", F.col("found") / F.greatest(F.col("n"), F.lit(1)))
 
 
 def dataset_stats(labelled: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """The inverted-file index: build, store, load, search.
 
 Stored as three Parquet tables: ``index_meta`` (one row), ``centroids`` and ``index``, the latter partitioned by
-cluster and sorted within.  A search first ranks the centroids for each query (a small table), then reads only
-the clusters that some query probes: their ids are few and go into the scan as a literal list.
+cluster and sorted within.  A search takes its queries in blocks: the driver ranks the centroids for a block, its
+probed clusters' ids go into the scan as a literal list, and each task compares a cluster's rows, in Arrow batches,
+with the queries that probe it.
 """
 
 from __future__ import annotations
@@ -10,19 +11,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelake import schemas
 from scorelake.config import IndexParams, Limits
-from scorelake.functions.vectors import quantize_vector, sq_l2
+from scorelake.functions.vectors import first_dims, quantize_vector, sq_l2, valid_vector
+from scorelake.operators.batched import nearest_probed, take_block
 from scorelake.operators.kmeans import assign, kmeans, sample
-from scorelake.operators.knn import blocks, exact_knn, ranked
+from scorelake.operators.knn import blocks, exact_knn, ranked, small
 
 VERSION = 1
 STORED = "vec_id bigint, qvec array<tinyint>, vector array<float>, is_fraud boolean, cluster_id int"
-#: Cluster ids go into the scan as literals up to so many; beyond, the probes are joined as they are.
+#: Cluster ids go into the scan as literals up to so many; beyond, all clusters are read and those not asked for skipped.
 MOST_LITERAL = 5000
 
 
@@ -32,9 +35,8 @@ class IndexFormatError(ValueError):
 
 def probe_select(queries: DataFrame, centroids: DataFrame, dims: int, probes: int | None) -> DataFrame:
     """(query_id, cluster_id, cent_dist, probe_rank): the nearest centroids of each query, all of them if probes is None."""
-    pairs = queries.select("query_id", "qvector").crossJoin(F.broadcast(centroids))
+    pairs = queries.select("query_id", "qvector").where(valid_vector(F.col("qvector"), dims)).crossJoin(small(centroids))
     d = sq_l2(F.col("qvector"), F.col("centroid"), dims)
-    # A query's distances are ranked inside one row: no shuffle, and centroids are few.
     rows = pairs.select("query_id", "cluster_id", d.alias("cent_dist"))
     order = F.row_number().over(Window.partitionBy("query_id").orderBy("cent_dist", "cluster_id"))
     out = rows.withColumn("probe_rank", order)
@@ -51,13 +53,13 @@ def cluster_offsets(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
 def positions(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """(pos, vec_id): each vector's place in the cluster-sorted order, without a global sort."""
     inside = F.row_number().over(Window.partitionBy("cluster_id").orderBy("vec_id")) - 1
-    return assigned.select("vec_id", "cluster_id", inside.alias("i")).join(F.broadcast(cluster_offsets(assigned, centroids).select("cluster_id", "lo")), "cluster_id").select((F.col("lo") + F.col("i")).alias("pos"), "vec_id")
+    return assigned.select("vec_id", "cluster_id", inside.alias("i")).join(small(cluster_offsets(assigned, centroids).select("cluster_id", "lo")), "cluster_id").select((F.col("lo") + F.col("i")).alias("pos"), "vec_id")
 
 
 def find_cluster(places: DataFrame, offsets: DataFrame) -> DataFrame:
     """``places`` (pos, ...) with the cluster whose range [lo, hi) holds them; the ranges are few and sent to every task."""
     ranges = offsets.where("size > 0").select("cluster_id", "lo", "hi")
-    return places.join(F.broadcast(ranges), (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).drop("lo", "hi")
+    return places.join(small(ranges), (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).drop("lo", "hi")
 
 
 @dataclass
@@ -105,29 +107,25 @@ class IvfIndex:
             raise IndexFormatError(f"the index doesn't hold {m.num_vecs} vectors")
         return cls(centroids, vectors, IndexParams(dims=m.dims, n_centroids=m.num_centroids, default_probes=probes or m.default_probes, k=k))
 
-    def candidates(self, probed: DataFrame, queries: DataFrame) -> DataFrame:
-        """The vectors of the probed clusters with their quantized distances."""
-        probed = probed.select("query_id", "cluster_id", "probe_rank").join(F.broadcast(queries.select("query_id", quantize_vector(F.col("qvector")).alias("qq"))), "query_id")
-        ids = [r.cluster_id for r in probed.select("cluster_id").distinct().limit(MOST_LITERAL + 1).collect()]
-        index = self.vectors.where(F.col("cluster_id").isin(sorted(ids))) if len(ids) <= MOST_LITERAL else self.vectors
-        both = index.join(F.broadcast(probed), "cluster_id")
-        return both.withColumn("dist", sq_l2(F.col("qq"), F.col("qvec"), self.params.dims, exact_int=True)).drop("qq", "qvec")
-
     def search(self, queries: DataFrame, k: int | None = None, probes: int | None = None, rerank: int = 0, block: int = Limits.query_block) -> DataFrame:
         """(query_id, rank, vec_id, dist, is_fraud, cluster_id, probe_rank) for ``queries`` (query_id, qvector).
 
-        ``rerank`` above 0 takes that many by quantized distance and orders them anew by the exact one.
+        ``rerank`` above 0 takes that many by quantized distance and orders them anew by the exact one.  Queries
+        without a whole vector have no neighbours; equal ones are answered once; an id with two different
+        vectors is refused.
         """
-        k, probes = k or self.params.k, probes or self.params.default_probes
+        k, probes, dims = k or self.params.k, probes or self.params.default_probes, self.params.dims
         if k < 1 or probes < 1:
             raise ValueError("k and probes must be 1 or more")
+        own = queries.select("query_id", "qvector")
+        centroids = [(r.cluster_id, r.centroid) for r in self.centroids.select("cluster_id", "centroid").collect()]
         parts = []
-        for b in blocks(queries, max(1, min(block, Limits.broadcast_rows // min(probes, self.params.n_centroids)))):
-            found = self.candidates(probe_select(b, self.centroids, self.params.dims, probes), b)
+        for b in blocks(own, block):
+            taken = take_block(b.where(valid_vector(F.col("qvector"), dims)).select("query_id", "qvector", quantize_vector(first_dims(F.col("qvector"), dims)).alias("qq")), dims, qvector=np.float32, qq=np.int8)
+            found = nearest_probed(taken, own, self.vectors, centroids, max(k, rerank), probes, dims, bool(rerank), MOST_LITERAL)
             if rerank:
-                near = ranked(found, max(k, rerank), out="coarse").join(F.broadcast(b.select("query_id", "qvector")), "query_id")
-                found = near.withColumn("dist", sq_l2(F.col("qvector"), F.col("vector"), self.params.dims)).drop("coarse", "qvector")
-            parts.append(ranked(found.drop("vector"), k))
+                found = ranked(found, max(k, rerank), out="coarse").drop("coarse", "dist").withColumnRenamed("exact", "dist")
+            parts.append(ranked(found, k))
         return reduce(DataFrame.unionByName, parts).select("query_id", "rank", "vec_id", "dist", "is_fraud", "cluster_id", "probe_rank")
 
     def flat(self, queries: DataFrame, k: int | None = None) -> DataFrame:

@@ -9,13 +9,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scorelake.config import Limits
 from scorelake.functions.vectors import sq_l2
-from scorelake.operators.batched import nearest_rows
+from scorelake.operators.batched import nearest_rows, take_block
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked to be sent to every task if it is small enough for that."""
+    return F.broadcast(df) if df.limit(Limits.broadcast_rows + 1).count() <= Limits.broadcast_rows else df
 
 
 def blocks(queries: DataFrame, size: int = Limits.query_block) -> list[DataFrame]:
@@ -37,8 +43,13 @@ def distances(queries: DataFrame, corpus: DataFrame, dims: int, q: str = "qvecto
 
 
 def exact_knn(queries: DataFrame, corpus: DataFrame, k: int, dims: int, q: str = "qvector", c: str = "vector", exact_int: bool = False, block: int = Limits.query_block) -> DataFrame:
-    """``queries`` (query_id, q) against ``corpus`` (vec_id, c, ...): the k nearest with rank and distance."""
+    """``queries`` (query_id, q) against ``corpus`` (vec_id, c, ...): the k nearest with rank and distance.
+
+    Queries without a whole vector have no neighbours; equal ones are answered once; an id with two different
+    vectors is refused.
+    """
     if k < 1:
         raise ValueError("k must be 1 or more")
-    parts = [ranked(nearest_rows(b, corpus, k, dims, q, c, exact_int), k) for b in blocks(queries.select("query_id", q), block)]
+    own = queries.select("query_id", q)
+    parts = [ranked(nearest_rows(take_block(b, dims, **{q: np.int8 if exact_int else np.float32}), own, corpus, k, dims, q, c, exact_int), k) for b in blocks(own, block)]
     return reduce(DataFrame.unionByName, parts)

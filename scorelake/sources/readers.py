@@ -100,11 +100,11 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").contains("status="))
 
 
-#: The kernel's scheduling counters that a report points out.
-NOTED = ("nr_periods", "nr_throttled", "throttled_usec", "throttled_time", "usage_usec")
+#: What the kernel's scheduling counters that a report points out begin with.
+NOTED = ("nr_periods", "nr_throttled", "throttled_usec", "nr_burst", "burst_usec")
 
 
 def read_cpu_stat(spark: SparkSession, path: str) -> DataFrame:
     """(name, value, noted) of a cgroup's cpu.stat file."""
     parts = F.split("value", r"\s+")
-    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("name"), F.expr("try_cast(get(split(value, '\\\\s+'), 1) as bigint)").alias("value")).withColumn("noted", F.col("name").isin(*NOTED))
+    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("name"), F.expr("try_cast(get(split(value, '\\\\s+'), 1) as bigint)").alias("value")).withColumn("noted", functools.reduce(lambda a, b: a | b, (F.col("name").startswith(n) for n in NOTED)))

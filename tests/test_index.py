@@ -110,8 +110,7 @@ def test_write_load_and_pruning(spark, index, queries, tmp_path):
     assert back.params.default_probes == 3 and IvfIndex.load(spark, path, probes=7).params.default_probes == 7
     assert rows_of(back.search(queries), "query_id", "rank", "vec_id") == rows_of(index.search(queries), "query_id", "rank", "vec_id")
     one = queries.limit(1)
-    probed = ivf.probe_select(one, back.centroids, DIMS, 2)
-    plan = back.candidates(probed, one)._jdf.queryExecution().executedPlan().toString()
+    plan = back.search(one, probes=2)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cluster_id" in plan or "cluster_id#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     spark.createDataFrame([(2, 1, 1, 1, 1)], "version int, num_vecs bigint, num_centroids int, dims int, default_probes int").write.mode("overwrite").parquet(f"{path}/index_meta")
     with pytest.raises(IndexFormatError):
@@ -157,3 +156,46 @@ def test_log_fields_and_aborts(spark):
     rows = telemetry.log_fields(spark.createDataFrame([(s,) for s in lines], "value string"))
     got = {(r.field, r.bucket): r.n for r in telemetry.log_buckets(rows).collect()}
     assert got == {("Tw", "aborted"): 1, ("Tw", "0"): 1, ("Tr", "2-4"): 1, ("Tr", "missing"): 1}
+
+
+def test_repeated_ids_and_null_vectors(spark, index, corpus, queries):
+    rows = queries.unionByName(queries.where("query_id = 0")).unionByName(queries.where("query_id = 29").selectExpr("-1L as query_id", "cast(null as array<float>) as qvector"))
+    for search in (lambda q: knn.exact_knn(q, corpus, 5, DIMS), lambda q: index.search(q), lambda q: index.search(q, rerank=7)):
+        assert rows_of(search(rows), "query_id", "rank", "vec_id") == rows_of(search(queries), "query_id", "rank", "vec_id")
+        with pytest.raises(ValueError):
+            search(queries.unionByName(queries.where("query_id = 29").withColumn("query_id", F.lit(0).cast("long")))).collect()
+    assert decide(rows, index.search(rows), 5).count() == rows.count()
+
+
+def test_index_search_against_brute_force(index, queries):
+    cents = {r.cluster_id: r.centroid for r in index.centroids.collect()}
+    data = index.vectors.collect()
+    quant = lambda v: [max(-127, min(127, int(abs(x) * 127 + 0.5) * (1 if x >= 0 else -1))) for x in v]
+    sq = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    got = {(r.query_id, r.rank): (r.vec_id, r.dist, r.probe_rank) for r in index.search(queries, probes=4).collect()}
+    for q in queries.collect():
+        order = sorted(cents, key=lambda c: (sq(q.qvector, cents[c]), c))[:4]
+        near = sorted((sq(quant(q.qvector), r.qvec), r.vec_id, order.index(r.cluster_id) + 1) for r in data if r.cluster_id in order)[:5]
+        assert [got.get((q.query_id, i + 1)) for i in range(len(near))] == [(v, d, p) for d, v, p in near]
+
+
+def test_percentile_by_histograms(spark):
+    rng = random.Random(3)
+    values = [rng.lognormvariate(0, 3) for _ in range(3000)] + [5.0] * 500 + [None]
+    rows = spark.createDataFrame([(v,) for v in values], "d double").repartition(5)
+    want = rows.agg(*(F.percentile("d", F.lit(p)) for p in (0.0, 0.5, 0.99, 1.0))).first()
+    assert [evaluate.percentile(rows, "d", p) for p in (0.0, 0.5, 0.99, 1.0)] == pytest.approx(list(want))
+    kept = rows.where("d is not null")
+    order = sorted(v for v in values if v is not None)
+    assert [evaluate.value_at(kept, "d", i, at_once=20, ways=8) for i in (0, 1234, 3400, 3499)] == [order[i] for i in (0, 1234, 3400, 3499)]
+
+
+def test_calibration_is_timed_and_recall_grows(index, queries, corpus):
+    want = corpus.select(F.col("vec_id").alias("query_id"), (~F.col("is_fraud")).alias("expected_approved")).join(queries.select("query_id"), "query_id")
+    assert all(r.seconds > 0 and r.us_per_query > 0 for r in evaluate.calibrate(index, queries, want, [2]).collect())
+    exact = knn.exact_knn(queries, corpus, 5, DIMS)
+    few, all_ = (evaluate.recall(index.search(queries, probes=p, rerank=20), exact).first().recall for p in (1, 12))
+    assert few <= all_ and all_ == 1.0
+    near = classify.true_neighbours(index, queries, 5)
+    found = index.search(queries, probes=1)
+    assert classify.found_by(near, found).count() + classify.lost_by(near, found).count() == near.count()

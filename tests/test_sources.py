@@ -48,9 +48,9 @@ def test_mismatch_lines(spark, tmp_path):
 
 
 def test_cpu_stat(spark, tmp_path):
-    (tmp_path / "cpu.stat").write_text("usage_usec 5\nnr_bursts 0\n")
+    (tmp_path / "cpu.stat").write_text("usage_usec 5\nnr_bursts 0\nthrottled_usec 7\nnr_periods x\n")
     got = {r.name: (r.value, r.noted) for r in readers.read_cpu_stat(spark, f"file://{tmp_path}/cpu.stat").collect()}
-    assert got == {"usage_usec": (5, True), "nr_bursts": (0, False)}
+    assert got == {"usage_usec": (5, False), "nr_bursts": (0, True), "throttled_usec": (7, True), "nr_periods": (None, True)}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -62,3 +62,16 @@ def test_stream_equals_batch(spark, tmp_path):
     score_stream(index, source, f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
     got = spark.read.parquet(f"file://{tmp_path}/out").drop("epoch")
     assert sorted(map(tuple, got.select("query_id", "response").collect())) == sorted(map(tuple, score_batch(index, q).select("query_id", "response").collect()))
+
+
+def test_every_request_of_a_stream_is_answered(spark, tmp_path):
+    """Ids that repeat, with one vector and with two, null ids and null vectors."""
+    rows = spark.createDataFrame([(i, [i / 20.0, 1 - i / 20.0], i < 10) for i in range(20)], "vec_id long, vector array<float>, is_fraud boolean")
+    index = IvfIndex.of(rows, centroid_frame(spark, [[0.0, 1.0], [1.0, 0.0]]), IndexParams(dims=2, n_centroids=2, default_probes=1))
+    asked = [("a", [0.0, 1.0]), ("a", [0.0, 1.0]), ("a", [1.0, 0.0]), ("b", None), (None, [1.0, 0.0]), ("c", [0.5])]
+    q = spark.createDataFrame(asked, "query_id string, qvector array<float>")
+    got = sorted((r.query_id or "", r.fraud_count) for r in score_batch(index, q).collect())
+    assert got == [("", 0), ("a", 0), ("a", 5), ("a", 5), ("b", 0), ("c", 0)]
+    q.write.parquet(f"file://{tmp_path}/in")
+    score_stream(index, spark.readStream.schema(q.schema).parquet(f"file://{tmp_path}/in"), f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
+    assert sorted((r.query_id or "", r.fraud_count) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == got
