@@ -54,7 +54,7 @@ def main() -> None:
     IvfIndex.build(corpus, IndexParams(dims=tables.DIMS, n_centroids=16, sample_rate=1.0, iters=2, default_probes=4)).write(path)
     seconds["index_build"] = round(time.perf_counter() - began, 3)
     index = IvfIndex.load(spark, path)
-    batch = tables.queries(spark, sf, 1000).cache()
+    batch = tables.queries(spark, sf, 2).cache()
     n, q = corpus.count(), batch.count()
     for p in (1, 4, 16):
         seconds[f"stored_search_{q}q_probes{p}"] = timed(lambda p=p: index.search(batch, probes=p))

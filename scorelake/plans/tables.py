@@ -8,38 +8,52 @@ from pyspark.sql.window import Window
 
 from scorelake.config import IndexParams
 from scorelake.operators.ivf import IvfIndex
+from scorelake.shared import scratch
 from scorelake.sources.readers import corpus_rows
 
 DIMS = 64
-PARAMS = IndexParams(dims=DIMS, n_centroids=16, sample_rate=1.0, iters=2, default_probes=4, k=5)
-QUERIES, CENTROIDS = 20, 16
+PARAMS = IndexParams(dims=DIMS, n_centroids=16, sample_rate=1.0, iters=8, default_probes=13, k=5)
+CENTROIDS = PARAMS.n_centroids
+#: Searches take every row whose id is divisible by this as a query; evaluations take every row.
+EVERY = 100
 RISK = {"purchase": 0.8, "error": 0.9, "view": 0.1, "click": 0.25}
+_built: dict[tuple[str, str], str] = {}
 
 
 def raw_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings, of which some have a value too few and some one too many."""
     label = F.when(F.col("label") < 3, "fraud").otherwise("legit")
-    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"), label.alias("label"))
+    v, i = F.col("embedding"), F.col("vec_id") % 50
+    vector = F.when(i == 37, F.slice(v, 1, DIMS - 1)).when(i == 41, F.concat(v, F.array(F.lit(0.5).cast("float")))).otherwise(v)
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", vector.alias("vector"), label.alias("label"))
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_rows(raw_corpus(spark, sf), DIMS)
 
 
-def queries(spark: SparkSession, sf: str, n: int = QUERIES) -> DataFrame:
-    return corpus(spark, sf).where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qvector"))
+def queries(spark: SparkSession, sf: str, every: int = EVERY) -> DataFrame:
+    return corpus(spark, sf).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("qvector"))
 
 
-def centroids(spark: SparkSession, sf: str) -> DataFrame:
+def start(spark: SparkSession, sf: str) -> DataFrame:
+    """First centroids for single rounds: the first rows."""
     return corpus(spark, sf).where(F.col("vec_id") < CENTROIDS).select(F.col("vec_id").cast("int").alias("cluster_id"), F.col("vector").alias("centroid"))
 
 
 def index(spark: SparkSession, sf: str) -> IvfIndex:
-    return IvfIndex.of(corpus(spark, sf), centroids(spark, sf), PARAMS)
+    """The trained index over all rows, built and stored once for each application and table."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _built:
+        path = scratch(spark)
+        IvfIndex.build(corpus(spark, sf), PARAMS).write(path)
+        _built[key] = path
+    return IvfIndex.load(spark, _built[key], k=PARAMS.k)
 
 
-def expected(spark: SparkSession, sf: str, n: int = QUERIES) -> DataFrame:
+def expected(spark: SparkSession, sf: str, every: int = 1) -> DataFrame:
     """A query is expected to be approved iff its own vector is legitimate."""
-    return corpus(spark, sf).where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), (~F.col("is_fraud")).alias("expected_approved"))
+    return corpus(spark, sf).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), (~F.col("is_fraud")).alias("expected_approved"))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
