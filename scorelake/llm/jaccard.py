@@ -15,9 +15,7 @@ Texts become sets of word shingles; equal sets are one class, and only classes g
 4. Star links first: under six more random orders, the members of every group with the same first token are compared
    with one central member only, which is linear however large a group of near copies is.
 5. What these links leave apart is joined on the tokens of the first order, but only between different
-   components and where enough shared tokens follow the common one in both sets.  A group of more than
-   ``MOST_TOGETHER`` sets under a token isn't paired but split by the prefix tokens of the second order, and
-   groups that are still larger by those of the third.
+   components and where enough shared tokens follow the common one in both sets.
 
 All candidates must share prefix tokens under all three orders; only pairs that do meet their whole sets, and
 verification counts the shared shingles exactly.  Nothing is capped; results aren't sampled.  Shingles and sets are
@@ -46,8 +44,8 @@ NO_ID = np.iinfo(np.int64).max
 FLUSH = 1 << 21
 #: A shingle is heavy if more than one set in so many has it, and if enough have it at all.
 RARE, ENOUGH = 500, 64
-#: Shingles counted in one part, and sets under one token that are compared with each other.
-IN_PART, MOST_TOGETHER = 1 << 22, 200
+#: Shingles counted in one part.
+IN_PART = 1 << 22
 SEEDS = [U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0)]
 STARS = [U(0x082EFA98EC4E6C89), U(0x452821E638D01377), U(0xBE5466CF34E90C6C), U(0xC0AC29B7C97C50DD), U(0x3F84D5B5B5470917), U(0x9216D5D98979FB1B)]
 PACKED = "kind int, part int, blob binary"
@@ -296,22 +294,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.col("n_x") + F.col("n_y") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _apart(rows: DataFrame, sets: DataFrame, percent: int, orders: tuple[str, ...] = ORDERS[1:]) -> DataFrame:
-    """The pairs of sets of different components under one key, of ``rows`` (cls, n, comp, key, rest); large groups are split further first."""
+def _apart(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of sets of different components under one key, of ``rows`` (cls, n, comp, key, rest)."""
     rows = cut(rows)
-    groups = cut(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members"))
-    large = F.col("members") > MOST_TOGETHER
-    split = bool(orders) and groups.where(large).limit(1).count() > 0
-    left = cut(rows.join(groups.where(~large) if split else groups, "key"))
+    groups = cut(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
+    left = cut(rows.join(groups, "key"))
     x, y = (left.select("key", F.col("cls").alias(s), F.col("n").alias(f"size_{s}"), F.col("comp").alias(f"comp_{s}"), F.col("rest").alias(f"rest_{s}")) for s in ("x", "y"))
     # The first token that two sets share in the first order has all the others behind it, in either set.
     reach = f"{100 + percent} * least(rest_x, rest_y) >= {percent} * (size_x + size_y)"
-    pairs = x.join(y, "key").where(f"comp_x < comp_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) and {reach}").select("x", "y")
-    if split:
-        finer = rows.join(groups.where(large).select("key"), "key").join(sets.select("cls", F.col(orders[0]).alias("more")), "cls")
-        finer = finer.select("cls", "n", "comp", "key", "rest", F.explode("more").alias("token")).withColumn("key", F.xxhash64("key", "token")).drop("token")
-        pairs = pairs.unionByName(_apart(finer, sets, percent, orders[1:]))
-    return pairs.distinct()
+    return x.join(y, "key").where(f"comp_x < comp_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) and {reach}").select("x", "y").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -340,7 +331,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
 
     at = sets.join(near, sets.cls == near.node, "left").select("cls", "n", F.coalesce("root", "cls").alias("comp"), F.size("tokens").alias("own"), "first")
     keyed = at.select("cls", "n", "comp", "own", F.posexplode("first").alias("place", "key")).select("cls", "n", "comp", "key", (F.col("own") - F.col("place")).alias("rest"))
-    rest = _verified(_apart(keyed, sets, percent), sets, percent)
+    rest = _verified(_apart(keyed, percent), sets, percent)
     hop = near.select("node", "root")
     rest = rest.join(hop.toDF("a", "ra"), "a", "left").join(hop.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     far = cut(components(rest))
