@@ -18,7 +18,7 @@ from scorelake.operators import classify as why
 from scorelake.operators import evaluate, ivf, kmeans, knn, telemetry
 from scorelake.operators.decide import decide
 from scorelake.plans import tables as t
-from scorelake.shared import scratch
+from scorelake.shared import discard, scratch
 from scorelake.sources import readers, sinks
 from scorelake.sources.readers import corpus_rows, parse_requests
 
@@ -356,8 +356,10 @@ def _entries(spark, sf) -> DataFrame:
 @query
 def labelled_set(spark, sf):
     path = scratch(spark)
-    _one_text(_entries(spark, sf), "i", '{"entries":[', '],"stats":{"total":1}}').write.text(path)
-    return readers.read_labelled(spark, path).select("idx", "expected_approved", F.col("request.id").alias("event_id"))
+    sinks.write_labelled(_entries(spark, sf), "i", path)
+    rows = readers.read_labelled(spark, path)
+    discard(spark, path)
+    return rows.select("idx", "expected_approved", F.col("request.id").alias("event_id"))
 
 
 @query
